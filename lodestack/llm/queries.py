@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, langid, licenses, quality, simhash, suffix_dedup
+from . import ctw, decontam, langid, licenses, packing, quality, simhash, span_dedup, suffix_dedup, token_counts
 from .common import read
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.deduplicate(read(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("matches")
 
@@ -16,10 +24,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("failed_rules")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -33,7 +49,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_license_scan, op4_simhash_near_dedup, op6_quality_rules, op8_language_id, op9_suffix_dedup, op10_lm_scoring)}
+    all_of_them = (
+        op1_token_counts,
+        op2_substring_dedup,
+        op3_license_scan,
+        op4_simhash_near_dedup,
+        op5_benchmark_decontamination,
+        op6_quality_rules,
+        op7_packing,
+        op8_language_id,
+        op9_suffix_dedup,
+        op10_lm_scoring,
+    )
+    return {f.__name__: f for f in all_of_them}
 
 
 def oracle_sql() -> dict[str, str]:
