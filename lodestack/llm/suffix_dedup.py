@@ -242,7 +242,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, *, length: int = 400, anchor: int = 200, most: int = 30_000) -> DataFrame:
     """doc_id, k (hash of the text), spans: byte ranges covered by repeated strings, unmerged."""
     rows = cut_table(_segments(docs, length, anchor))
-    often = rows.groupBy("a").agg(F.count(F.lit(1)).alias("c"), (F.min("g") < F.max("g")).alias("many")).where("c > 1").select("a", "many")
+    # Written out, so that the joins below are plain ones whose hot keys adaptive execution splits.
+    often = cut_table(rows.groupBy("a").agg(F.count(F.lit(1)).alias("c"), (F.min("g") < F.max("g")).alias("many")).where("c > 1").select("a", "many"))
     rows = cut_table(rows.join(often, "a"))
     one_of = F.min(F.struct("doc_id", "k", "p", "n", "q")).alias("x")
     kinds = cut_table(rows.where("many").groupBy("a", "g").agg(F.count(F.lit(1)).alias("c"), one_of))
@@ -261,7 +262,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, anchor: int = 200, mos
     ranges = ranges.groupBy("a", "g").agg(F.first("ranges").alias("ranges"))
     whole = F.array(F.struct(F.lit(0).alias("f"), F.col("n").cast("int").alias("t")))
     same = rows.where("not many").select("doc_id", "k", "p", whole.alias("ranges"))
-    by = kinds.select("a", "g", "c").join(ranges, ["a", "g"], "left").where("c > 1 or ranges is not null")
+    by = cut_table(kinds.select("a", "g", "c").join(ranges, ["a", "g"], "left").where("c > 1 or ranges is not null"))
     mixed = rows.where("many").join(by, ["a", "g"]).select("doc_id", "k", "p", F.when(F.col("c") > 1, whole).otherwise(F.col("ranges")).alias("ranges"))
     spans = F.transform("ranges", lambda r: F.struct((F.col("p") + r["f"]).alias("f"), (F.col("p") + r["t"] + length - 1).alias("t")))
     return same.unionByName(mixed).groupBy("doc_id", "k").agg(F.flatten(F.collect_set(spans)).alias("spans"))
