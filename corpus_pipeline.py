@@ -1,5 +1,72 @@
-"""A training corpus made from documents, stage by stage."""
+"""A training corpus made from documents, stage by stage.
+
+Each stage calls one operator of lodestack.llm, works on all rows that its
+predecessor kept, and is written as Parquet before the next one reads it. All
+stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestack.llm import decontam, langid, packing, simhash, span_dedup
+from lodestack.llm.common import cut_table, read
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts and texts without a letter."""
+    model = langid.train(langid.sample(docs.select("lang", "text")))
+    found = langid.predict(docs, model, keep=docs.columns)
+    return found.where("lang_pred <> 'und'").select(docs.columns) if model else found.select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: the one of the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id all stay, since
+    a group can't name them.
+    """
+    found = simhash.near_duplicates(docs)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    named = docs.join(keep, docs.doc_id == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated sentence runs; drops documents of which nothing but white space is left."""
+    found = span_dedup.deduplicate(docs)
+    cut = F.col("n_removed") > 0
+    found = found.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return found.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain an item of the benchmark."""
+    return decontam.without(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts every document into a batch of its length bucket."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL can't express these stages; tests/llm checks run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut_table(docs)
+    return docs

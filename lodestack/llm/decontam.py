@@ -185,6 +185,33 @@ def _value(words: list[bytes], at: np.ndarray, i: int) -> bytes:
     return b" ".join(run[: run.index(_STOP)] if _STOP in run else run)
 
 
+def _blocks(benchmark: DataFrame):
+    """Broadcast (item_id, text) lists of about BLOCK_CHARS characters each."""
+    items = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
+
+
+def without(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, share: float = 0.5, least: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, that contain no item (see `find`)."""
+    place = docs.columns.index("text")
+    for shared in _blocks(benchmark):
+
+        def run(batches, shared=shared):
+            bench, cache = Benchmark(shared.value, window, least), Tokens()
+            for b in small_batches(batches, limit=2 << 20):
+                data, at = text_bytes(b.column(place))
+                data = data.tobytes()
+                bad = {m[0] for m in matches([data[i:j] for i, j in pairwise(at.tolist())], bench, cache, share) if m[4]}
+                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, share: float = 0.5, least: int = 5) -> DataFrame:
     """doc_id, item_id, matched, share, slots_changed, first_token: one row for each row of docs and item it contains.
 
@@ -195,17 +222,11 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, share: float
     each give their rows (an item with a repeated item_id and text once); extra
     columns are ignored; empty tables give no rows.
     """
-    items = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
     kinds = dict(docs.dtypes), dict(benchmark.dtypes)
     schema = f"doc_id {kinds[0]['doc_id']}, item_id {kinds[1]['item_id']}, matched long, share double, slots_changed long, first_token long"
     rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id")
-    sc = docs.sparkSession.sparkContext
     out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = sc.broadcast([tuple(r) for r in block.collect()])
+    for shared in _blocks(benchmark):
 
         def run(batches, shared=shared):
             bench, cache = Benchmark(shared.value, window, least), Tokens()

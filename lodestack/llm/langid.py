@@ -118,6 +118,9 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """Up to `rows` labelled texts of each language, in hash order: the bounded training sample."""
     first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     known = docs.where("lang is not null and text is not null and length(text) between 50 and 20000").select("lang", "text").distinct()
+    # The first rows of each of 64 hash classes hold the first rows of all; so no task ranks a whole language.
+    parts = Window.partitionBy("lang", F.pmod(F.hash("text"), F.lit(64))).orderBy(F.xxhash64("text"), "text")
+    known = known.withColumn("r", F.row_number().over(parts)).where(f"r <= {rows}").drop("r")
     return [(r[0], r[1]) for r in known.withColumn("r", F.row_number().over(first)).where(f"r <= {rows}").orderBy("lang", "r").select("lang", "text").collect()]
 
 
@@ -135,6 +138,7 @@ def train(rows: list[tuple[str, str]], sample_bytes: int = SAMPLE_BYTES) -> list
 def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = 1024, keep: list[str] | None = None) -> DataFrame:
     """lang_pred, score and n_phrases beside the columns `keep` of docs."""
     keep = keep or ["doc_id"]
+    others = [c for c in keep if c != "text"]
     langs = [lang for lang, _ in model]
 
     def run(batches):
@@ -158,11 +162,11 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = 1024,
                 pred.append(langs[order[0]])
                 score.append(float(second / (best + second)))
                 n.append(int(best))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=[*(f"c{i}" for i in range(len(keep))), "lang_pred", "score", "n_phrases"])
+            yield pa.RecordBatch.from_arrays([*(b.column(0) if c == "text" else b.column(1 + others.index(c)) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=[*(f"c{i}" for i in range(len(keep))), "lang_pred", "score", "n_phrases"])
 
     kinds = dict(docs.dtypes)
-    out = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
-    schema = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(keep))
+    out = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(others)))
+    schema = ", ".join(f"c{i} {'string' if c == 'text' else kinds[c]}" for i, c in enumerate(keep))
     out = out.mapInArrow(run, f"{schema}, lang_pred string, score double, n_phrases long")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "n_phrases")
 
