@@ -164,10 +164,14 @@ def highlight(text: str, query: str) -> str:
     return "".join([*parts, html.escape(text[at:])]).replace("\n", "<br>")
 
 
+def _tenth(x: Column) -> Column:
+    return F.call_function("format_number", x, F.lit("0.0"))
+
+
 def format_size(size: Column) -> Column:
-    """B, KB, MB or GB with one decimal from KB on."""
+    """B, KB, MB or GB with one decimal from KB on (halves to even)."""
     kb = size / 1024.0
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(kb < 1024, F.format_string("%.1f KB", kb)).when(kb < 1024**2, F.format_string("%.1f MB", kb / 1024)).otherwise(F.format_string("%.1f GB", kb / 1024**2))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(kb < 1024, F.concat(_tenth(kb), F.lit(" KB"))).when(kb < 1024**2, F.concat(_tenth(kb / 1024), F.lit(" MB"))).otherwise(F.concat(_tenth(kb / 1024**2), F.lit(" GB")))
 
 
 def dedupe_key(text: Column) -> Column:

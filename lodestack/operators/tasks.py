@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import ARCHIVE_EXTENSIONS, IMAGE_EXTENSIONS, OFFICE_EXTENSIONS
+from ..streaming.events import median
 
 
 def fair_rank(rows: DataFrame, source: str, *order: Column) -> DataFrame:
@@ -187,7 +188,7 @@ def search_baseline_ms(mode: Column, file_count: Column, scoped: Column, extensi
 def search_estimates(samples: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
     """lower_ms and upper_ms before each sample, from baseline_ms and the last 20 elapsed_ms of its key."""
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(-20, -1)
-    n, seen = F.count("elapsed_ms").over(w), F.median("elapsed_ms").over(w)
+    n, seen = F.count("elapsed_ms").over(w), median(F.collect_list("elapsed_ms").over(w))
     rows = samples.withColumns({"n_samples": n, "__seen": seen})
     weight = F.least(F.lit(0.8), 0.45 + 0.08 * F.col("n_samples"))
     center = F.when(F.col("n_samples") > 0, F.col("baseline_ms") * (1 - weight) + F.col("__seen") * weight).otherwise(F.col("baseline_ms"))

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 def debounced(events: DataFrame, by: list[str], ts: str, value: str, quiet_seconds: float = 2.0) -> DataFrame:
     """One row per burst: events closer than the quiet time; the last value, first and last time, size."""
     w = Window.partitionBy(*by).orderBy(ts, value)
-    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
+    gap = F.timestamp_diff("MICROSECOND", F.lag(ts).over(w), F.col(ts))
     new = F.coalesce(gap > int(quiet_seconds * 1e6), F.lit(True)).cast("int")
     rows = events.withColumn("__burst", F.sum(new).over(w))
     return rows.groupBy(*by, "__burst").agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.max_by(value, F.struct(ts, value)).alias("last_value"), F.count(F.lit(1)).alias("n_events")).drop("__burst")
@@ -81,6 +81,12 @@ def stalled(events: DataFrame, timeout: Column, task: str = "task_id", ts: str =
     return runs.groupBy(task).agg(F.max("still").alias("longest_still"), F.bool_or(F.col("still") > F.col("timeout")).alias("stalled"))
 
 
+def median(values: Column) -> Column:
+    """Median of an array, null if it is empty (windows with an order take no median)."""
+    x, n = F.array_sort(values), F.size(values)
+    return F.when(n > 0, (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2.0)
+
+
 def blended_rates(samples: DataFrame, default_rate: Column, lane: str = "lane", order: str = "seq") -> DataFrame:
     """rate after each sample (completed_cost, service_seconds): prior and observation blended.
 
@@ -90,7 +96,7 @@ def blended_rates(samples: DataFrame, default_rate: Column, lane: str = "lane",
     w = Window.partitionBy(lane).orderBy(order)
     rate = F.col("service_seconds") / F.greatest(F.lit(0.001), F.col("completed_cost"))
     rows = samples.withColumn("__rate", rate)
-    recent = F.median("__rate").over(w.rowsBetween(-20, 0))
+    recent = median(F.collect_list("__rate").over(w.rowsBetween(-20, 0)))
     total = F.sum("service_seconds").over(w) / F.greatest(F.lit(0.001), F.sum("completed_cost").over(w))
     # An exponential average forgets: beyond 200 samples a weight is below 1e-24.
     last = F.collect_list("__rate").over(w.rowsBetween(-199, 0))
