@@ -41,7 +41,7 @@ def confirm(rows: DataFrame, confirmations: DataFrame) -> DataFrame:
     c = confirmations.select(F.col("task_id").alias("__t"), F.col("lease_owner").alias("__o"), F.col("result_digest").alias("__d"))
     ok = (F.col("status") == "running") & (F.col("lease_owner") == F.col("__o")) & (F.length("__d") > 0)
     both = rows.join(c, rows.task_id == F.col("__t"), "left")
-    return both.withColumn("status", F.when(ok, "confirmed").otherwise(F.col("status"))).withColumn("result_digest", F.when(ok, F.col("__d")).otherwise(F.col("result_digest"))).select(rows.columns)
+    return both.withColumns({"status": F.when(ok, "confirmed").otherwise(F.col("status")), "result_digest": F.when(ok, F.col("__d")).otherwise(F.col("result_digest"))}).select(rows.columns)
 
 
 def budget_claim(rows: DataFrame, source: str, key: str, priority: str, cost: str, limit: int, budget: int) -> DataFrame:
@@ -123,10 +123,10 @@ def superseded(existing: DataFrame, created: DataFrame) -> DataFrame:
     return both.withColumn("status", F.when(hit, "superseded").otherwise(F.col("status"))).select(existing.columns).unionByName(created)
 
 
-def recovered(tasks: DataFrame, now: Column | None = None) -> DataFrame:
+def recovered(tasks: DataFrame) -> DataFrame:
     """State after a crash: what ran is queued again, without an owner."""
     ran = F.col("status").isin("running", "spooled")
-    return tasks.withColumn("status", F.when(ran, "queued").otherwise(F.col("status"))).withColumn("lease_owner", F.when(~ran, F.col("lease_owner")))
+    return tasks.withColumns({"status": F.when(ran, "queued").otherwise(F.col("status")), "lease_owner": F.when(~ran, F.col("lease_owner"))})
 
 
 def merged_pages(pages: DataFrame) -> DataFrame:
