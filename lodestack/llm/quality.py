@@ -34,8 +34,8 @@ _SPACE = r"[\\x20\\x09-\\x0D]+"
 def features(docs: DataFrame) -> DataFrame:
     """The counts of every row, under names that start with __ beside doc_id and lang."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = r"filter(split(__text, '\\n', -1), x -> length(btrim(x, ' \t\n\u000b\f\r')) > 0)"
-    words = rf"if(btrim(__text, ' \t\n\u000b\f\r') = '', cast(array() as array<string>), split(btrim(__text, ' \t\n\u000b\f\r'), '{_SPACE}', -1))"
+    lines = r"filter(split(__text, '\\n', -1), x -> length(btrim(x, ' \t\n\u000b\u000c\r')) > 0)"
+    words = rf"if(btrim(__text, ' \t\n\u000b\u000c\r') = '', cast(array() as array<string>), split(btrim(__text, ' \t\n\u000b\u000c\r'), '{_SPACE}', -1))"
     # let-bindings: transform(array(x), v -> ...)[0] computes x once
     windows = """element_at(transform(array(transform(__words, w -> xxhash64(w))), h -> if(size(h) < 8, cast(array() as array<bigint>),
         transform(sequence(1, size(h) - 7), i -> xxhash64(slice(h, i, 8))))), 1)"""
