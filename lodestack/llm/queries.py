@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, langid, licenses, packing, quality, simhash, span_dedup, suffix_dedup, token_counts
+from . import ctw, decontam, langid, licenses, packing, quality, simhash, span_dedup, sql, suffix_dedup, token_counts
 from .common import read
 
 
@@ -65,4 +65,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what it can express; the others are tested against brute force in tests/llm."""
+    return {"op6_quality_rules": sql.quality(), "op7_packing": sql.packing()}

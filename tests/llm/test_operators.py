@@ -1,0 +1,413 @@
+"""Each operator against a brute-force version, on odd rows, and on empty tables."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from lodestack.llm import ctw, decontam, langid, licenses, packing, quality, simhash, span_dedup, suffix_dedup, suffixes, token_counts
+
+from . import brute
+
+
+def rows_of(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=repr)
+
+
+def pairs(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+# 1
+
+
+def test_edits_keep_counts_exact(texts):
+    counter, rng = token_counts.Counter(), random.Random(3)
+    pieces = ["", " ", "x", "\n\n", "  y ", "'s", "12 34", " word" * 200, "中文", "!!", "\t"]
+    for t in (t or "" for t in texts):
+        tree = token_counts.Tree(t, counter)
+        assert tree.total == len(counter.encoding.encode_ordinary(t))
+        for _ in range(8):
+            a = rng.randint(0, len(t))
+            b, new = min(len(t), a + rng.choice([0, 1, 4, 30, 900])), rng.choice(pieces)
+            tree.edit(a, b, new)
+            t = t[:a] + new + t[b:]
+            assert tree.text() == t
+            assert tree.total == len(counter.encoding.encode_ordinary(t))
+
+
+def test_edit_reencodes_little():
+    tree = token_counts.Tree("plain words and more " * 5000, token_counts.Counter())
+    tree.edit(50_000, 50_003, "other")
+    assert tree.recounted < 20
+
+
+def test_token_counts(spark, docs, empty):
+    counter = token_counts.Counter()
+    n = lambda t: len(counter.encoding.encode_ordinary(t or ""))
+    assert rows_of(token_counts.count(docs), "doc_id", "n_tokens") == sorted(((i, n(t)) for i, t in pairs(docs)), key=repr)
+    mail = spark.createDataFrame([(1, "write to a.b@mail.example.com or 10.0.0.1 now")], "doc_id long, text string")
+    r = token_counts.count(mail).first()
+    assert (r.n_edits, r.n_tokens_edited) == (2, n("write to <email> or <ip> now"))
+    given = spark.createDataFrame([(1, "one two three", [(4, 7, "2"), (0, 99, "")]), (2, "same", None)], "doc_id long, text string, e array<struct<start: int, end: int, new: string>>")
+    assert rows_of(token_counts.count(given, edits="e"), "doc_id", "n_edits", "n_tokens_edited") == [(1, 2, 0), (2, 0, n("same"))]
+    assert token_counts.count(empty).count() == 0
+
+
+# 2
+
+
+def spans_removed(rows, run=2, least=24):
+    """(doc_id, text) -> sentences that a non-first span covers, by comparing span texts."""
+    seen: dict = {}
+    cut = {r: span_dedup.sentences((t or "").encode()) for r, (i, t) in enumerate(rows)}
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0))
+    first: dict = {}
+    for r in order:
+        for f, t, h in span_dedup.spans(cut[r], run, least):
+            key = (rows[r][0], rows[r][1], f)
+            first.setdefault(h, key)
+            seen.setdefault(r, []).append((f, t, h))
+    return [(rows[r][0], sum(1 for s in range(len(cut[r])) if any(f <= s < t and first[h] != (rows[r][0], rows[r][1], f) for f, t, h in seen.get(r, ())))) for r in range(len(rows))]
+
+
+def test_span_dedup(docs, empty):
+    got = span_dedup.deduplicate(docs)
+    assert got.columns == [*docs.columns, "n_sentences", "n_removed"]
+    assert rows_of(got, "doc_id", "n_removed") == sorted(spans_removed(pairs(docs)), key=repr)
+    for r in got.select("doc_id", "text", "n_removed").collect():
+        if not r.n_removed:
+            assert (r.doc_id, r.text) in pairs(docs)
+    assert span_dedup.deduplicate(empty).count() == 0
+
+
+def test_sentences_make_up_the_text(texts):
+    for t in texts:
+        assert b"".join(span_dedup.sentences((t or "").encode())) == (t or "").encode()
+
+
+def test_passage_without_sentence_ends_is_found(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(120))
+    df = spark.createDataFrame([(i, " ".join(word() for _ in range(30)) + " " + passage + " " + " ".join(word() for _ in range(30))) for i in range(3)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in span_dedup.deduplicate(df).collect()}
+    assert passage in left[0]
+    assert all(len(left[i].split()) < 110 for i in (1, 2))
+
+
+# 3
+
+
+def license_rows(rows):
+    out = []
+    for i, t in rows:
+        w = [x.decode() for x in licenses.words_of((t or "").encode())]
+        hits = [(k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        out.append((i, len(w), len(hits), min((k for k, _ in hits), default=None), max((k for k, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))))
+    return sorted(out, key=repr)
+
+
+LICENSED = [
+    (1, "Released under the MIT License. mit-license MIT LICENSE"),
+    (2, "This work is licensed under the GNU General Public License, version 3."),
+    (3, "Licensed under the Apache License, Version 2.0."),
+    (4, "Licensed under CC BY-NC 4.0."),
+    (5, "a mit licenses and the general public, license"),
+    (6, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
+    (7, None),
+    (8, "mit licenseé"),
+]
+
+
+def test_license_scan(spark, docs, empty):
+    names = "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"
+    df = spark.createDataFrame(LICENSED, "doc_id long, text string")
+    assert rows_of(licenses.scan(df), *names) == license_rows(LICENSED)
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    assert found[2][0] == "gpl,gpl-3.0" and found[3] == ("apache,apache-2.0", 1.0) and found[4] == ("cc-by-nc-4.0", 1.0)
+    assert found[1][0] == "mit" and found[5] == ("gpl", 0.0) and found[6][0] == "bsd" and 0 < found[6][1] < 1
+    assert rows_of(licenses.scan(docs), *names) == license_rows(pairs(docs))
+    assert licenses.scan(empty).count() == 0
+
+
+# 4
+
+
+def test_simhash(docs, empty):
+    rows = pairs(docs)
+    fps = [brute.fingerprint(t) for _, t in rows]
+    want = sorted(((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, brute.components([i for i, _ in rows], fps))), key=repr)
+    names = "doc_id", "fingerprint", "component_id"
+    assert rows_of(simhash.near_duplicates(docs), *names) == want
+    assert rows_of(simhash.near_duplicates(docs, dense=2), *names) == want  # buckets dealt out again
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_alike_by_two_fingerprints(docs, empty, spark):
+    rows = [(i, t) for i, t in dict.fromkeys(pairs(docs)) if i is not None]
+    want = brute.components([i for i, _ in rows], [brute.word_fingerprint(t) for _, t in rows], 7, [brute.fingerprint(t, 5) for _, t in rows], 12)
+    want = sorted({(i, c) for (i, _), c in zip(rows, want)})
+    assert len({c for _, c in want}) < len(want)
+    for dense in (20_000, 6):
+        assert sorted(set(rows_of(simhash.alike(docs, dense=dense), "doc_id", "component_id"))) == want
+    assert simhash.alike(empty).count() == 0
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3])
+@pytest.mark.parametrize("n", [300, 2500, 3500])
+def test_dense_buckets(n, distance, monkeypatch):
+    rng = random.Random(n)
+    base = rng.getrandbits(64)
+    fp = np.unique(np.array([base ^ sum(1 << b for b in rng.sample(range(40), rng.choice([1, 2, 4, 8, 12]))) for _ in range(n)], np.uint64))
+    monkeypatch.setattr(simhash, "SQUARE_UP_TO", 10**9)
+    want = simhash.dense_labels(fp, distance)
+    monkeypatch.setattr(simhash, "SQUARE_UP_TO", 1)
+    assert (simhash.dense_labels(fp, distance) == want).all()
+
+
+def test_plan_keeps_every_link():
+    both = np.full((64, 64), 250.0) + np.diag([250.0] * 64)
+    for distance in (1, 2, 3, 5):
+        scheme = simhash.plan(1000, both, distance)
+        rng = random.Random(distance)
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << i for i in rng.sample(range(64), distance))
+            assert any(bin((a ^ b) & sum(1 << i for i in bits)).count("1") <= t for bits, t in scheme)
+
+
+# 5
+
+
+def test_decontamination(spark, docs, empty):
+    item = "If a train travels 120 km in 3 hours and then Paul walks 120 m to the station, how fast was the train on its way?"
+    other = "Completely different question about rivers and mountains that nobody has ever asked before in this form today."
+    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, "too short"), (1, item)], "item_id long, text string")
+    changed = item.replace("120", "450").replace("3 hours", "7 hours").replace("Paul", "Anna")
+    broken = item.replace("120 km", "450 km").replace("120 m ", "80 m ")
+    texts = [(10, f"Some words. {item} More."), (11, f"Intro here. {changed}"), (12, f"Intro here. {broken}"), (13, "Clean text about trains and hours. " * 5), (14, None), (15, ""), (16, item), (16, item)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows_of(decontam.find(df, bench), "doc_id", "item_id") == [(10, 1), (11, 1), (16, 1), (16, 1)]
+    assert {r.doc_id: r.slots_changed for r in decontam.find(df, bench).collect()}[11] > 0
+    assert rows_of(decontam.without(df, bench), "doc_id") == [(12,), (13,), (14,), (15,)]
+    assert decontam.find(docs, bench).count() == 0
+    assert decontam.find(empty, bench).count() == decontam.find(df, bench.limit(0)).count() == 0
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 60)
+    rng = random.Random(5)
+    items = [(i, " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(14))) for i in range(6)]
+    df = spark.createDataFrame([(100 + i, f"before. {t} after.") for i, t in items], "doc_id long, text string")
+    assert rows_of(decontam.find(df, spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id") == [(100 + i, i) for i, _ in items]
+
+
+# 6
+
+
+def test_quality_features(docs, empty, spark):
+    names = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    want = []
+    for i, t in pairs(docs):
+        q = brute.quality(t)
+        failed = q[0] < 20 or 100 * q[4] > 30 * q[0]
+        want.append((i, *q, failed, not failed))
+    assert rows_of(quality.judge(docs, labels), *names) == sorted(want, key=repr)
+    assert quality.judge(empty, labels).count() == 0
+    assert quality.judge(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    cases = [(0, 50, 0.1), (3, 80, 0.1), (7, 200, 0.1), (19, 200, 0.1), (20, 200, 0.1), (0, 1, 0.1), (150, 2000, 0.1)]
+    rows = spark.createDataFrame([(k, n) for k, n, _ in cases], "k long, n long")
+    got = {(r.k, r.n): r.p for r in rows.select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.1).alias("p")).collect()}
+    for k, n, p in cases:
+        want = 1.0 if k >= n * p else sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert got[k, n] == pytest.approx(want, rel=1e-6)
+
+
+def test_cutoffs_limit_false_rejection(spark):
+    rng = random.Random(2)
+    rows = [("en", x, 0.0, 0.0, 5.0, x < 0.1 or rng.random() < 0.02) for x in (rng.random() ** 3 for _ in range(6000))]
+    df = spark.createDataFrame(rows, "lang string, symbol_share double, dup_line_share double, repeat_share double, word_length double, good boolean")
+    found = quality.cutoffs(df, risk=0.2).collect()
+    assert [r.rule for r in found] == ["symbol_share"]
+    good = [r for r in rows if r[5]]
+    assert sum(r[1] > found[0].cutoff for r in good) / len(good) < 0.05
+    assert quality.cutoffs(df.limit(20)).count() == 0  # too few labels to be sure
+
+
+# 7
+
+
+def test_packing(spark, docs, empty):
+    got = packing.pack(docs, buckets=4, budget=2000)
+    rows = got.collect()
+    assert rows_of(got, "doc_id", "n_tokens") == sorted(((i, len(brute.words(t))) for i, t in pairs(docs)), key=repr)
+    batches: dict = {}
+    for r in rows:
+        assert r.n_padding == r.bucket_length - r.n_tokens >= 0
+        if r.n_tokens:
+            batches.setdefault((r.bucket_length, r.shard, r.batch), []).append(r)
+        else:
+            assert r.batch is None
+    assert all(len(b) == 1 or k[0] * len(b) <= 2000 for k, b in batches.items())
+    assert len({k[0] for k in batches}) <= 4
+    assert packing.pack(empty).count() == 0
+    assert packing.pack(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).count() == 2
+
+
+def test_boundaries_are_optimal():
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for _ in range(30):
+        lengths = np.array(sorted(rng.sample(range(1, 60), rng.randint(1, 8))))
+        counts = np.array([rng.randint(1, 9) for _ in lengths])
+        cost = lambda bs: sum(c * min(b for b in bs if b >= x) for x, c in zip(lengths, counts))
+        for k in (1, 2, 3):
+            best = min(cost([*c, lengths[-1]]) for m in range(k) for c in combinations(lengths[:-1].tolist(), min(m, len(lengths) - 1)))
+            got = packing.optimal_boundaries(lengths, counts, k)
+            assert len(got) <= k and cost(got) == best
+
+
+# 8
+
+
+def test_phrases_match_greedy_parsing():
+    train = b"abracadabra banana"
+    classes, table = langid.parse_table(train)
+    for text in (b"abrabanana", b"xyz", b"cadcadbra ", b"", b"a" * 40):
+        n, i = 0, 0
+        while i < len(text):
+            k = 1
+            while i + k < len(text) and text[i : i + k + 1] in train:
+                k += 1
+            n, i = n + 1, i + k
+        data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        assert langid.phrases(data, at, classes, table, 1024).tolist() == [n]
+
+
+def test_language_id(spark, docs, empty):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r.doc_id: r.lang for r in df.collect()}
+    rows = [r for r in langid.identify(df).collect() if r.held_out]
+    assert all(r.held_out == brute.held_out(r.doc_id, 4, 2) for r in rows)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in rows) / len(rows) > 0.98
+    odd = langid.identify(docs).collect()
+    assert len(odd) == docs.count()
+    letters = {i: any(c.isalpha() for c in t or "") for i, t in pairs(docs)}
+    assert all((r.lang_pred == "und") == (not letters[r.doc_id]) and 0 <= r.score <= 1 for r in odd)
+    assert langid.identify(empty).count() == 0
+    assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", docs.lang.substr(0, 0)).where("lang is null")).collect()} == {"und"}
+
+
+# 9
+
+
+def test_deep_shallow_sorts():
+    rng = random.Random(6)
+    for _ in range(60):
+        base = bytes(rng.choice(b"ab") for _ in range(60))
+        strings = [base[: rng.randint(0, 60)] + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 40))]
+        got = suffixes.deep_shallow(strings, shallow=rng.choice([0, 1, 4, 16]))
+        order = [strings[i] for i, _ in got]
+        assert order == sorted(strings) and sorted(i for i, _ in got) == list(range(len(strings)))
+        for (_, lcp), a, b in zip(got[1:], order, order[1:]):
+            assert lcp == suffixes.common_prefix(a, b)
+
+
+@pytest.mark.parametrize(("length", "anchor"), [(40, 16), (400, 200)])
+@pytest.mark.parametrize("most", [30_000, 1])
+def test_suffix_dedup(docs, length, anchor, most):
+    rows = pairs(docs)
+    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.repeated_bytes([(t or "").encode() for _, t in rows], length))), key=repr)
+    got = suffix_dedup.deduplicate(docs, length=length, anchor=anchor, most=most)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_suffix_dedup_empty(empty):
+    assert suffix_dedup.deduplicate(empty).count() == 0
+
+
+# 10
+
+
+def test_word_base(docs, empty):
+    rows = pairs(docs)
+    want = sorted(((i, *x) for (i, _), x in zip(rows, brute.word_scores(rows))), key=repr)
+    for share in (1 / 200_000, 0.5):
+        got = rows_of(ctw.score(docs, head_share=share), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+    assert ctw.score(empty).count() == 0
+
+
+def test_context_tree_mixture():
+    """Code lengths against a literal context-tree weighting of one symbol."""
+    from math import exp, lgamma, log
+
+    rng = random.Random(8)
+    text = bytes(rng.choice(b"abcab ") for _ in range(400))
+    data, at = np.frombuffer(text, np.uint8), np.array([0, 150, 150, 400])
+    codes, n = ctw.trigrams(data, at)
+    row, table = ctw.code_lengths(codes, n.astype(float))
+    counts: dict = {}
+    for c, k in zip(codes.tolist(), n.tolist()):
+        a, b, x = c >> 16, c >> 8 & 255, c & 255
+        for level in range(8):
+            node, bit = (1 << level) | (x >> (8 - level)), x >> (7 - level) & 1
+            for ctx in ((), (b,), (a, b)):
+                counts.setdefault((ctx, node), [0, 0])[bit] += k
+    kt = lambda z, o: lgamma(z + 0.5) + lgamma(o + 0.5) - 2 * lgamma(0.5) - lgamma(z + o + 1)
+
+    def weighted(ctx, node):
+        own = kt(*counts[ctx, node])
+        if len(ctx) == 2:
+            return own
+        below = sum(weighted(c, node) for c, m in counts if m == node and len(c) == len(ctx) + 1 and c[len(c) - len(ctx) :] == ctx)
+        return log(0.5 * exp(own - below) + 0.5) + below
+
+    def one(ctxs, node):
+        p = 0.5
+        for ctx in reversed(ctxs):
+            z, o = counts.get((ctx, node), (0, 0))
+            est = (o + 0.5) / (z + o + 1)
+            if len(ctx) == 2:
+                p = est
+            elif z + o:
+                w = 0.5 * exp(kt(z, o) - weighted(ctx, node))
+                p = w * est + (1 - w) * p
+            else:
+                p = 0.5 * est + 0.5 * p
+        return p
+
+    for a, b in ((97, 98), (0, 97), (99, 97), (98, 120), (200, 201)):
+        total = 0.0
+        for x in range(256):
+            want = 1.0
+            for level in range(8):
+                p = one(((), (b,), (a, b)), (1 << level) | (x >> (8 - level)))
+                want *= p if x >> (7 - level) & 1 else 1 - p
+            got = 10 ** float(table[row[a << 8 | b], x])
+            total += got
+            if x in text or x == 255:
+                assert got == pytest.approx(want, rel=1e-3)
+        assert total == pytest.approx(1, rel=1e-3)
+
+
+def test_scores_are_probabilities(docs):
+    got = ctw.score(docs).collect()
+    assert all(r.score < 0 for r in got)
+    size = {i: len((t or "").encode()) for i, t in pairs(docs)}
+    for r in got:  # below 8 bits a byte, the end included
+        if size[r.doc_id] > 100:
+            assert -r.score * 3.3219 < 5 * size[r.doc_id]
