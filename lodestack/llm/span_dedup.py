@@ -27,7 +27,7 @@ _PIECE = re.compile(rb"[^.!?\n]*[.!?\n]+[ \t-\r]*|[^.!?\n]+")
 _WORD = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
 
-def sentences(text: bytes, long_words: int = 40) -> list[bytes]:
+def sentences(text: bytes, long_words: int = 12) -> list[bytes]:
     """Pieces that make up the text, each with the white space behind it."""
     out = []
     for piece in _PIECE.findall(text):
@@ -37,7 +37,7 @@ def sentences(text: bytes, long_words: int = 40) -> list[bytes]:
         start = 0
         if len(piece.split()) > long_words:
             for m in _WORD.finditer(piece):
-                if crc32(m[0].rstrip().translate(LOWER)) % 12 == 0:
+                if crc32(m[0].rstrip().translate(LOWER)) % 8 == 0:
                     out.append(piece[start : m.end()])
                     start = m.end()
         if start < len(piece):
