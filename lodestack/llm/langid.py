@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from .common import small_batches, text_bytes
 
 SAMPLE_BYTES = 40_000
-SAMPLE_ROWS = 200
+SAMPLE_ROWS = 100
 
 
 def prepared(text: str) -> bytes:
@@ -115,13 +115,21 @@ def phrases(data: np.ndarray, at: np.ndarray, classes: np.ndarray, table: np.nda
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """Up to `rows` labelled texts of each language, in hash order: the bounded training sample."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    known = docs.where("lang is not null and text is not null and length(text) between 50 and 20000").select("lang", "text").distinct()
-    # The first rows of each of 64 hash classes hold the first rows of all; so no task ranks a whole language.
-    parts = Window.partitionBy("lang", F.pmod(F.hash("text"), F.lit(64))).orderBy(F.xxhash64("text"), "text")
-    known = known.withColumn("r", F.row_number().over(parts)).where(f"r <= {rows}").drop("r")
-    return [(r[0], r[1]) for r in known.withColumn("r", F.row_number().over(first)).where(f"r <= {rows}").orderBy("lang", "r").select("lang", "text").collect()]
+    """Up to `rows` labelled texts of each language, in hash order: the bounded training sample.
+
+    Hashes alone are ranked, first within 64 classes of them, so no task ranks a
+    whole language and no text is shuffled; then the chosen texts are fetched.
+    """
+    known = docs.where("lang is not null and text is not null and length(text) between 50 and 20000").select("lang", "text", F.xxhash64("text").alias("__h"))
+    hashes = known.select("lang", "__h").distinct()
+    for by in (["lang", F.pmod("__h", F.lit(64))], ["lang"]):
+        hashes = hashes.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__h"))).where(F.col("__r") <= rows).drop("__r")
+    chosen = [r["__h"] for r in hashes.select("__h").distinct().collect()]
+    texts = {(r[0], r[1], r[2]) for r in known.where(F.col("__h").isin(chosen)).collect()} if chosen else set()
+    out: dict[str, list[tuple[int, str]]] = {}
+    for lang, text, h in texts:
+        out.setdefault(lang, []).append((h, text))
+    return [(lang, text) for lang in sorted(out) for _, text in sorted(out[lang])[:rows]]
 
 
 def train(rows: list[tuple[str, str]], sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
