@@ -168,6 +168,55 @@ def visible_blocks(blocks: DataFrame, files: DataFrame, exclusions: DataFrame) -
     return shared.select(blocks.columns).unionByName(single.select(blocks.columns))
 
 
+def added_roots(roots: DataFrame, paths: list[str], enabled: bool = True) -> DataFrame:
+    """Roots with paths added or, where known, set anew; status pending."""
+    known = F.col("path").isin(paths)
+    out = roots.withColumns({"enabled": F.when(known, enabled).otherwise(F.col("enabled")), "status": F.when(known, "pending").otherwise(F.col("status"))})
+    new = roots.sparkSession.createDataFrame([(p,) for p in paths], "path string").join(roots.select("path"), "path", "left_anti")
+    return out.unionByName(new.select(F.abs(F.xxhash64("path")).alias("root_id"), "path", F.lit(enabled).alias("enabled"), F.lit("pending").alias("status")), allowMissingColumns=True)
+
+
+def without_root(files: DataFrame, documents: DataFrame, blocks: DataFrame, root_id: int) -> dict[str, DataFrame]:
+    """files, documents and blocks after a root is gone: shared blocks move to a remaining file."""
+    left = files.where(~F.col("root_id").eqNullSafe(F.lit(root_id)))
+    kept = referenced_documents(documents, left)
+    single = blocks.where("document_id is null").join(left.select("file_id"), "file_id", "left_semi").select(blocks.columns)
+    shared = blocks.where("document_id is not null").join(kept.select("document_id"), "document_id", "left_semi").select(blocks.columns)
+    return {"files": left, "documents": kept, "blocks": single.unionByName(reassigned(shared, left))}
+
+
+def forced_complete(files: DataFrame, tasks: DataFrame, exclusions: DataFrame, reason: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """exclusions with every blocker excluded that may be, and the blockers that may not (file_id, problem)."""
+    wanted = blockers(files, exclusions).select("file_id")
+    bad = exclusion_problems(files, tasks, exclusions, wanted)
+    return excluded(files, tasks, exclusions, wanted.join(bad.select("file_id"), "file_id", "left_anti"), reason, now), bad
+
+
+def may_publish(files: DataFrame, tasks: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """One row: whether no file blocks and no task of a visible file is open."""
+    open_tasks = reconciled_tasks(tasks, files, exclusions).where(~F.col("status").isin(TERMINAL_TASKS))
+    a = blockers(files, exclusions).agg(F.count(F.lit(1)).alias("n_blockers"))
+    b = open_tasks.agg(F.count(F.lit(1)).alias("n_open_tasks"))
+    return a.join(F.broadcast(b)).withColumn("may_publish", (F.col("n_blockers") == 0) & (F.col("n_open_tasks") == 0))  # one row each
+
+
+def planned_pages(documents: DataFrame, existing: DataFrame) -> DataFrame:
+    """Page tasks of documents (document_id, source_digest, n_pages, scanned array<int>).
+
+    Native text for every page, OCR for scanned ones; tasks of an older digest are
+    invalidated, those of the same one stay.
+    """
+    pages = documents.select("document_id", "source_digest", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page"), "scanned")
+    native = pages.select("document_id", "source_digest", "page", F.lit("pdf_native_page").alias("task_type"))
+    ocr = pages.where(F.array_contains("scanned", F.col("page"))).select("document_id", "source_digest", "page", F.lit("pdf_ocr_page").alias("task_type"))
+    new = native.unionByName(ocr).withColumns({"unit_key": F.concat(F.lit("page:"), F.col("page").cast("string")), "status": F.lit("queued")})
+    now = documents.select(F.col("document_id").alias("__d"), F.col("source_digest").alias("__s"))
+    old = existing.join(now, existing.document_id == F.col("__d"), "left")
+    stale = F.col("__s").isNotNull() & ~F.col("source_digest").eqNullSafe(F.col("__s")) & ~F.col("status").isin(TERMINAL_TASKS)
+    old = old.withColumn("status", F.when(stale, "invalidated").otherwise(F.col("status"))).select(existing.columns)
+    return old.unionByName(new.join(existing, ["document_id", "source_digest", "page", "task_type"], "left_anti").select(existing.columns))
+
+
 def snapshot_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """key and change (missing, new, changed) between two snapshots."""
     x = a.select(key, F.col(value).alias("__a"), F.lit(1).alias("__in_a"))

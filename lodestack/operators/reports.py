@@ -127,6 +127,45 @@ def failed_files(files: DataFrame, tasks: DataFrame, exclusions: DataFrame, limi
     return out.orderBy(F.desc("indexed_at"), "file_id").limit(limit) if limit else out
 
 
+# Columns of the problem list; missing ones are empty.
+LISTED = ["path", "filename", "extension", "parse_status", "parse_error_code", "parse_error_message", "parser_name", "indexed_at", "progress_phase", "progress_cursor", "recovery_advice", "reason"]
+EXCLUDED_ADVICE = "恢复纳入后重新解析"
+
+
+def listed(**scopes: DataFrame) -> DataFrame:
+    """failed, metadata_only and excluded files as one list of equal columns and a scope_category."""
+    out = []
+    for scope, df in scopes.items():
+        if scope == "excluded":
+            df = df.withColumn("recovery_advice", F.lit(EXCLUDED_ADVICE))
+            if "created_at" in df.columns:
+                df = df.withColumn("indexed_at", F.col("created_at"))
+        cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in LISTED]
+        out.append(df.select("file_id", *cols, F.lit(scope).alias("scope_category")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def shown_matches(results: DataFrame, expanded: bool = False, few: int = 3) -> DataFrame:
+    """matches cut to the first few unless expanded, and how many are hidden."""
+    if expanded:
+        return results.withColumn("n_hidden", F.lit(0))
+    return results.withColumns({"matches": F.slice("matches", 1, few), "n_hidden": F.greatest(F.lit(0), F.size("matches") - few)})
+
+
+def metadata_only_files(files: DataFrame, limit: int = 500) -> DataFrame:
+    return files.where("parse_status = 'metadata_only'").where(~F.coalesce("is_deleted", F.lit(False))).orderBy(F.desc("indexed_at"), "file_id").limit(limit)
+
+
+def excluded_files(files: DataFrame, exclusions: DataFrame, with_history: bool = False) -> DataFrame:
+    """Excluded files with their exclusion; past ones too with history."""
+    rows = exclusions if with_history else open_exclusions(exclusions)
+    return rows.join(files.withColumnRenamed("indexed_at", "file_indexed_at"), "file_id")
+
+
+def slowest(metrics: DataFrame, files: DataFrame, n: int = 20) -> DataFrame:
+    return metrics.join(files.select("file_id", "path"), "file_id").orderBy(F.desc("parse_ms"), "file_id").limit(n)
+
+
 def histogram(files: DataFrame, by: list[str], size: str | None = None) -> DataFrame:
     return files.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), *([F.sum(size).alias("bytes")] if size else []))
 

@@ -92,6 +92,43 @@ def batches(rows: DataFrame, by: str, order: str, costs: dict[str, int], most: i
     return rows.join(ids, (rows[by] == F.col("__by")) & (rows[order] == F.col("__order"))).drop("__by", "__order")
 
 
+def capped(rows: DataFrame, source: str, order: list[Column], inflight: DataFrame, cap: int) -> DataFrame:
+    """Rows that may start while a source has at most `cap` at once (inflight: source, n)."""
+    busy = inflight.select(F.col(source).alias("__s"), F.col("n").alias("__n"))
+    ranked = fair_rank(rows, source, *order).join(busy, F.col(source) == F.col("__s"), "left")
+    return ranked.where(F.col("source_rank") <= cap - F.coalesce("__n", F.lit(0))).drop("__s", "__n")
+
+
+def longest_first(jobs: DataFrame) -> DataFrame:
+    """Adds place: within each lane by falling cost, then path."""
+    return jobs.withColumn("place", F.row_number().over(Window.partitionBy("lane").orderBy(F.desc("cost"), F.lower("path"))))
+
+
+def lane_costs(jobs: DataFrame) -> DataFrame:
+    return jobs.groupBy("lane").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n_jobs"))
+
+
+def micro_batch(requests: DataFrame, now_ms: Column, wait_ms: int, most: int, pixels: int, memory: int) -> DataFrame:
+    """The next batch: requests like the oldest one, once it waited long enough or enough of them wait.
+
+    requests: request_id, submitted_ms, compatibility_key, pixel_count,
+    memory_bytes. The first request is taken whatever its size; the batch ends
+    before a budget is exceeded. Running sums say so, as the batch never skips.
+    """
+    first = requests.agg(F.min(F.struct("submitted_ms", "request_id", "compatibility_key")).alias("o"))
+    like = requests.join(F.broadcast(first), F.col("compatibility_key") == F.col("o.compatibility_key"))  # one row
+    n = like.agg(F.count(F.lit(1)).alias("__waiting"))
+    due = (now_ms - F.col("o.submitted_ms") >= wait_ms) | (F.col("__waiting") >= most)
+    ready = like.join(F.broadcast(n)).where(due)
+    # Only the first `most` can be taken; they are ranked by one task.
+    top = ready.orderBy("submitted_ms", "request_id").limit(most)
+    w = Window.partitionBy("compatibility_key").orderBy("submitted_ms", "request_id")
+    size = lambda c: F.sum(F.greatest(F.lit(1), F.col(c)).cast("long")).over(w)
+    fits = (F.row_number().over(w) == 1) | ((size("pixel_count") <= pixels) & (size("memory_bytes") <= memory))
+    kept = top.withColumn("__fits", fits).withColumn("__ok", F.min(F.col("__fits").cast("int")).over(w))
+    return kept.where("__ok = 1").select(requests.columns)
+
+
 def stalls(events: DataFrame, max_retries: int = 3, same: int = 2) -> DataFrame:
     """Adds retry: whether a stalled or crashed task may run again after each event.
 

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions import text as tx
-from ..operators import blocks, geometry, lifecycle, postings, reports, tasks
+from ..operators import blocks, geometry, lifecycle, postings, recognition, reports, tasks
 from ..query import SearchQuery, plan
 from ..schemas import VIDEO_EXTENSIONS
 from ..sources import parsers
@@ -587,6 +588,81 @@ def html_blocks(spark, d):
     return parsers.parse(files).where("block_index is not null").select("path", "block_index", "location_text", "line_start", "line_end", "raw_text")
 
 
+# --- scalars, lists, planning ------------------------------------------------
+
+
+@query(f"with {_FILES} select case when extension in {_VIDEO} then 'excluded_video' when parse_status = 'success' then 'indexed' when parse_status in ('failed', 'password_protected') then 'failed' when parse_status = 'unsupported' then 'unsupported' when parse_status = 'metadata_only' then 'metadata_only' else 'failed' end as outcome, count(*) as n_files from f group by 1")
+def outcome_counts(spark, d):
+    rows = v.registry_files(spark, d).select(scalars.outcome(F.col("parse_status"), F.col("extension")).alias("outcome"))
+    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("select l_orderkey, l_linenumber, cast(l_linenumber as bigint) * 4294967296 + l_partkey as cursor, cast(l_linenumber as integer) as sheet, cast(l_partkey as bigint) as row_number, cast(l_linenumber as bigint) as natural from lineitem")
+def sheet_cursors(spark, d):
+    c = scalars.sheet_cursor(F.col("l_linenumber"), F.col("l_partkey"))
+    rows = v.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.alias("cursor"))
+    return rows.select("l_orderkey", "l_linenumber", "cursor", scalars.cursor_sheet(F.col("cursor")).alias("sheet"), scalars.cursor_row(F.col("cursor")).alias("row_number"), scalars.natural_number(F.concat(F.lit("slide"), F.col("l_linenumber").cast("string"), F.lit(".xml"))).alias("natural"))
+
+
+@query("""select event_id, cast(json_extract(props, '$.k') as integer) as k, nullif(substr(event_type, 1, 4), '') as message, sha256(event_type) as digest,
+    case when value * 1000 < 1000 then cast(floor(value * 1000) as bigint) || ' ms' when value < 60 then null else (cast(floor(floor(value * 1000) / 60000.0) as bigint)) || ' min ' || cast(floor((floor(value * 1000) / 1000.0) % 60) as bigint) || ' s' end as elapsed from events""")
+def event_fields(spark, d):
+    ms = F.floor(F.col("value") * 1000)
+    shown = F.when((ms >= 1000) & (F.col("value") < 60), F.lit(None).cast("string")).otherwise(scalars.format_elapsed(ms))
+    return v.read(spark, d, "events").select("event_id", scalars.json_fields(F.col("props"), "k int")["k"].alias("k"), scalars.trimmed(F.col("event_type"), 4).alias("message"), scalars.message_digest(F.col("event_type")).alias("digest"), shown.alias("elapsed"))
+
+
+@query(f"""with {_FILES}, x as (select f.file_id, path, parse_status, '{reports.EXCLUDED_ADVICE}' as recovery_advice, 'excluded' as scope_category from f join e on e.file_id = f.file_id),
+    y as (select file_id, path, parse_status, '' as recovery_advice, 'metadata_only' as scope_category from f where parse_status = 'metadata_only' and not is_deleted order by file_id desc limit 500) select * from x union all select * from y""")
+def problem_list(spark, d):
+    files = v.registry_files(spark, d)
+    out = reports.listed(excluded=reports.excluded_files(files, v.registry_exclusions(spark, d)), metadata_only=reports.metadata_only_files(files))
+    return out.select("file_id", "path", "parse_status", "recovery_advice", "scope_category")
+
+
+@query(f"""with {_FILES}, k as (select t.file_id, t.task_id, t.cost, row_number() over (partition by t.file_id order by t.task_id) as source_rank, coalesce(b.n, 0) as n from t left join (select file_id, count(*) as n from t where status = 'running' group by 1) b on b.file_id = t.file_id where t.status = 'queued')
+    select file_id, task_id, source_rank from k where source_rank <= 5 - n""")
+def capped_claim(spark, d):
+    rows = v.tasks(spark, d)
+    busy = rows.where("status = 'running'").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    return tasks.capped(rows.where("status = 'queued'"), "file_id", [F.asc("task_id")], busy, 5).select("file_id", "task_id", F.col("source_rank").cast("long").alias("source_rank"))
+
+
+@query(f"with {_FILES} select file_id, row_number() over (partition by extension order by size_bytes desc, lower(path)) as place from f")
+def longest_first(spark, d):
+    jobs = v.registry_files(spark, d).select("file_id", F.col("extension").alias("lane"), F.col("size_bytes").alias("cost"), "path")
+    return tasks.longest_first(jobs).select("file_id", F.col("place").cast("long").alias("place"))
+
+
+@query("""with w as (select event_id as request_id, value from events where event_type = 'view' order by event_id limit 64), s as (select request_id, sum(greatest(1, cast(floor(value * 1000) as bigint))) over (order by request_id) as px, row_number() over (order by request_id) as r from w)
+    select request_id from s where r = 1 or px <= 900000""")
+def micro_batch(spark, d):
+    size = F.floor(F.col("value") * 1000).cast("long")
+    rows = v.read(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("event_id").alias("submitted_ms"), F.col("event_type").alias("compatibility_key"), size.alias("pixel_count"), F.lit(1).cast("long").alias("memory_bytes"))
+    first = rows.where("compatibility_key = 'view'")
+    return tasks.micro_batch(first, F.lit(10**9).cast("long"), 30, 64, 900_000, 10**9).select("request_id")
+
+
+@query(f"with {_FILES} select (select count(*) from m where not video and not excluded and parse_status not in ('success', 'metadata_only')) as n_blockers, (select count(*) from t left join e on e.file_id = t.file_id left join f on f.file_id = t.file_id and f.parse_status = 'success' where t.status <> 'complete' and e.file_id is null and f.file_id is null) as n_open_tasks, false as may_publish")
+def publish_gate(spark, d):
+    return lifecycle.may_publish(v.registry_files(spark, d), v.tasks(spark, d), v.registry_exclusions(spark, d))
+
+
+@query("""with p as (select p_partkey as document_id, unnest(range(1, p_size % 7 + 2)) as page, p_size from part) select document_id, page, 'pdf_native_page' as task_type, 'page:' || page as unit_key from p
+    union all select document_id, page, 'pdf_ocr_page', 'page:' || page from p where page = 2 and p_size % 2 = 0""")
+def page_plan(spark, d):
+    size = F.col("p_size")
+    docs = v.read(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.lit("d").alias("source_digest"), (size % 7 + 1).cast("int").alias("n_pages"), F.when(size % 2 == 0, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")).alias("scanned"))
+    none = spark.createDataFrame([], f"document_id {dict(docs.dtypes)['document_id']}, source_digest string, page int, task_type string, unit_key string, status string")
+    return lifecycle.planned_pages(docs, none).select("document_id", "page", "task_type", "unit_key")
+
+
+@query()
+def region_tree(spark, d):
+    images = v.read(spark, d, "part").where("p_size > 30").select(F.col("p_partkey").cast("string").alias("image"), (F.col("p_size") * 80).cast("int").alias("width"), (F.col("p_size") * 60).cast("int").alias("height"), F.array(F.array(F.lit(0), F.lit(0), F.lit(500), F.lit(500))).alias("anchors"))
+    return recognition.region_tree(images).select("image", "level", "x1", "y1", "x2", "y2", "heat", "state")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
