@@ -65,9 +65,10 @@ def contained(needles: DataFrame, needle_key: str, needle: str, rows: DataFrame,
     confirms them; so there is no nested loop and one row per gram is enough to
     shuffle on the needle's side. Needles shorter than a gram give no rows.
     """
-    postings = build(rows, key, text)
-    df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     own = needles.select(needle_key, needle).withColumn("gram", F.explode(grams(F.col(needle))))
+    # Only grams of needles are kept before anything is shuffled.
+    postings = build(rows, key, text).join(own.select("gram").distinct(), "gram", "left_semi")
+    df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = own.join(df, "gram", "left").groupBy(needle_key, needle).agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
     pairs = postings.join(rare, "gram").select(needle_key, needle, key)
     return pairs.join(rows.select(key, text), key).where(F.col(text).contains(F.col(needle))).select(needle_key, key)

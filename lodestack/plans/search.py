@@ -7,7 +7,7 @@ the blocks of the wanted page only.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -125,16 +125,21 @@ def scored(p: Planned, rows: DataFrame) -> DataFrame:
         hits = F.regexp_count(F.coalesce("raw_text", F.lit("")), F.lit(p.pattern)).cast("long")
     else:
         hits = tx.hits(tx.normalized("raw_text", **p.query.flags), p.terms)
-    name, first, kind = tx.normalized("filename", **p.query.flags), p.terms[0], F.col("source_type")
+    return _scored_rows(rows.withColumn("__hits", hits), F.lit(p.terms[0]), p.query)
+
+
+def _scored_rows(rows: DataFrame, first: Column, query: SearchQuery) -> DataFrame:
+    name, kind = tx.normalized("filename", **query.flags), F.col("source_type")
     bonus = F.when(name == first, 1000).when(name.startswith(first), 500).when(name.contains(first), 250).otherwise(0)
     adjust = F.when(kind == "metadata", 50).when(kind == "ocr", -25).otherwise(0)
     archive = F.element_at(F.split(F.replace(F.split("path", " > ", 2)[0], F.lit("\\"), F.lit("/")), "/"), -1)
     inside = F.get(F.split("path", " > ", 2), F.lit(1))
     location = F.coalesce("location_text", F.lit(""))
     place = F.when(F.col("path").contains(" > ") & (kind != "metadata"), F.concat_ws(" > ", archive, inside, location)).otherwise(location)
-    fuzzy = (kind == "ocr") & (F.col("ocr_confidence").isNull() | (F.col("ocr_confidence") < p.query.ocr_min_confidence))
-    rows = rows.withColumn("__hits", hits).withColumn("__place", place)
-    return rows.select("file_id", "path", "filename", "extension", "size_bytes", "modified_time", "parse_status", "block_id", "source_type", "ocr_confidence", F.col("__hits").alias("hits"), (F.col("__hits") + bonus + adjust).cast("double").alias("score"), fuzzy.alias("is_fuzzy"), F.col("__place").alias("location_text"))
+    fuzzy = (kind == "ocr") & (F.col("ocr_confidence").isNull() | (F.col("ocr_confidence") < query.ocr_min_confidence))
+    rows = rows.withColumn("__place", place)
+    more = [c for c in ("query_index",) if c in rows.columns]
+    return rows.select("file_id", "path", "filename", "extension", "size_bytes", "modified_time", "parse_status", "block_id", "source_type", "ocr_confidence", F.col("__hits").alias("hits"), (F.col("__hits") + bonus + adjust).cast("double").alias("score"), fuzzy.alias("is_fuzzy"), F.col("__place").alias("location_text"), *more)
 
 
 # Labels shown for hits without a location.
@@ -146,11 +151,11 @@ def _label(kind: Column) -> Column:
     return reduce(lambda w, kv: w.when(kind == kv[0], kv[1]), LABELS.items(), F).otherwise(BODY)
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """One row per file: summed score, its distinct matches in order, and what they say together."""
+def grouped(rows: DataFrame, *by: str) -> DataFrame:
+    """One row per file (and `by`): summed score, its distinct matches in order, and what they say together."""
     order = F.when(F.col("source_type") == "metadata", 0).when(F.col("source_type") == "ocr", 2).otherwise(1)
     match = F.struct(order.alias("rank"), "location_text", "block_id", "source_type", "ocr_confidence", F.greatest("hits", F.lit(1)).alias("hit_count"), "is_fuzzy")
-    out = rows.groupBy("file_id").agg(
+    out = rows.groupBy("file_id", *by).agg(
         *(F.any_value(c).alias(c) for c in ("path", "filename", "extension", "size_bytes", "modified_time", "parse_status")),
         F.sum("score").alias("score"),
         F.max("ocr_confidence").alias("ocr_confidence"),
@@ -240,5 +245,27 @@ class SearchEngine:
         return results.join(text, F.col("file_id") == F.col("__id"), "left").drop("__id")
 
     def search_many(self, queries: list[SearchQuery]) -> DataFrame:
-        """query_index and file results of several queries in one plan."""
-        return reduce(DataFrame.unionByName, (self.results(q).withColumn("query_index", F.lit(i)) for i, q in enumerate(queries)))
+        """query_index and file results of several queries.
+
+        Content queries that differ in text and mode only share one scan: each block
+        yields a row for every query it matches. Others get a plan of their own.
+        """
+        plans = [plan(q) for q in queries]
+        alike = all(p.terms and not p.pattern and p.content and not (p.filename or p.path) and replace(p.query, text="", mode="exact") == replace(plans[0].query, text="", mode="exact") for p in plans)
+        if not alike or len(plans) < 2:
+            return reduce(DataFrame.unionByName, (self.results(q).withColumn("query_index", F.lit(i)) for i, q in enumerate(queries)))
+        q = plans[0].query
+        stored = F.col("raw_text") if q.case_sensitive and not q.compat else F.col("normalized_text")
+        plain = not (q.case_sensitive or q.ignore_spaces or q.ignore_hyphens)
+        rows = self.blocks.where(source_filter(q)).withColumn("__text", stored if plain else tx.normalized(stored, **q.flags))
+        matched = F.array_compact(F.array(*(F.when(confirmed(p, F.col("__text")), F.lit(i)) for i, p in enumerate(plans))))
+        rows = rows.withColumn("__matched", matched).where(F.size("__matched") > 0)
+        rows = rows.withColumn("__raw", tx.normalized("raw_text", **q.flags))
+        files = active(self.exclusions, self.files).where(attribute_filter(q))
+        if "document_id" not in files.columns:
+            files = files.withColumn("document_id", F.lit(None).cast("long"))
+        rows = rows.select("block_id", "file_id", "document_id", "location_text", F.coalesce("source_type", F.lit("native_text")).alias("source_type"), "ocr_confidence", "__matched", F.array(*(tx.hits(F.col("__raw"), p.terms) for p in plans)).alias("__all_hits"))
+        rows = of_files(rows, files.select("file_id", "document_id", "path", "filename", "extension", "size_bytes", "modified_time", "parse_status")).withColumn("file_id", F.col("__file")).drop("__file", "__document", "document_id")
+        rows = rows.withColumn("query_index", F.explode("__matched"))
+        hits, first = F.get("__all_hits", F.col("query_index")), F.get(F.array(*(F.lit(p.terms[0]) for p in plans)), F.col("query_index"))
+        return grouped(_scored_rows(rows.withColumn("__hits", hits), first, q), "query_index")

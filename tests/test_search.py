@@ -97,6 +97,17 @@ def test_filters_and_exclusions(spark, small):
     assert ids(hidden.results(SearchQuery("needle"))) == [5, 6]
 
 
+def test_many_queries_share_a_scan(small):
+    queries = [SearchQuery("needle"), SearchQuery("again body", mode="all"), SearchQuery("alpha sharp", mode="any")]
+    got = small.search_many(queries)
+    assert plan_text(got).count("Scan ExistingRDD") <= 6
+    for i, q in enumerate(queries):
+        one = {(r.file_id, r.score, r.hit_count, r.location_text) for r in small.results(q).collect()}
+        assert {(r.file_id, r.score, r.hit_count, r.location_text) for r in got.where(f"query_index = {i}").collect()} == one
+    mixed = small.search_many([SearchQuery("needle"), SearchQuery(r"abc\d+", mode="regex")])
+    assert sorted((r.query_index, r.file_id) for r in mixed.collect()) == [(0, 3), (0, 4), (0, 5), (0, 6), (1, 3), (1, 4)]
+
+
 def test_empty_terms_and_readiness(spark, small):
     assert small.search(SearchQuery("  ")).results.count() == 0
     shut = spark.createDataFrame([(False, ["unfinished_tasks"])], "ready boolean, not_ready_reasons array<string>")
