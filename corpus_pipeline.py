@@ -22,12 +22,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one of the smallest doc_id.
+    """Keeps one document of each group of near-duplicates: the one of the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id all stay, since
-    a group can't name them.
+    Groups are those of simhash.alike: five-word shingles, a similarity of 0.8. Of
+    rows that repeat a doc_id one stays; rows without a doc_id all stay, since a
+    group can't name them.
     """
-    found = simhash.near_duplicates(docs)
+    found = simhash.alike(docs)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     named = docs.join(keep, docs.doc_id == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

@@ -35,14 +35,21 @@ SQUARE_UP_TO = 2048  # bucket rows up to which a bucket is compared with itself
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    words = words_of(text)
+    return _of_words(words_of(text), shingle, seed)
+
+
+def _of_words(words: list[bytes], shingle: int, seed: int) -> int:
     if not words:
         return 0
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    n = len(words) - shingle + 1
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, n)
+    return _majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, len(words) - shingle + 1))
+
+
+def _majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
+    n = len(h)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 200):  # up to 200 ones fit a byte's sum
         ones += np.add.reduce(np.unpackbits(h[i : i + 200].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
@@ -327,4 +334,141 @@ def near_duplicates(docs: DataFrame, *, distance: int = 3, shingle: int = 3, see
     return sig.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
-__all__ = ["fingerprint", "fingerprints", "link_fingerprints", "near_duplicates"]
+def _two_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """doc_id, fp (of the distinct words) and fp2 (of the word shingles)."""
+
+    def run(batches):
+        for b in small_batches(batches):
+            data, at = text_bytes(b.column(1))
+            data = data.tobytes()
+            one, two = [], []
+            for i, j in zip(at[:-1], at[1:]):
+                words = words_of(data[i:j])
+                kinds = set(words)
+                one.append(_majority(np.fromiter(map(xxhash.xxh64_intdigest, kinds, repeat(seed)), np.uint64, len(kinds))) if kinds else 0)
+                two.append(_of_words(words, shingle, seed))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))], names=["doc_id", "fp", "fp2"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
+
+
+def _filed_twice(nodes: DataFrame, scheme: list[tuple[list[int], int]]) -> DataFrame:
+    """Like _filed, with id and fp2 beside."""
+
+    def run(batches):
+        for b in batches:
+            fp = np.asarray(b.column(0)).view(np.uint64)
+            for k, (bits, t) in enumerate(scheme):
+                keys = keys_of(fp, bits, t)
+                own = np.zeros(keys.shape, bool)
+                own[:, 0] = True
+                rest = [pa.array(np.repeat(np.asarray(b.column(c)), keys.shape[1])) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, k, np.int8)), pa.array(keys.ravel().view(np.int64)), *rest, pa.array(own.ravel())], names=["part", "value", "fp", "fp2", "id", "own"])
+
+    return nodes.select("fp", "fp2", "id").mapInArrow(run, "part byte, value long, fp long, fp2 long, id long, own boolean")
+
+
+def _alike_labels(fp: np.ndarray, fp2: np.ndarray, distance: int, distance2: int) -> np.ndarray:
+    """Components (smallest position) of rows alike in both fingerprints; block by block."""
+    n = len(fp)
+    label = np.arange(n)
+    for i in range(0, n, 256):
+        near = np.bitwise_count(fp[i : i + 256, None] ^ fp[None, :]) <= distance
+        near &= np.bitwise_count(fp2[i : i + 256, None] ^ fp2[None, :]) <= distance2
+        near &= label[i : i + 256, None] != label[None, :]
+        x, y = np.nonzero(near)
+        if len(x):
+            label = shared_labels(n, np.r_[np.arange(n), label[x + i]], np.r_[label, label[y]])
+    return label
+
+
+def _alike_links(rows: DataFrame, distance: int, distance2: int) -> DataFrame:
+    """Links (ids a, b) that span what is alike inside each bucket."""
+
+    def links(value, fp, fp2, ids, own):
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        sizes = np.diff(np.r_[starts, len(value)])
+        used = (sizes > 1) & (np.add.reduceat(own.astype(np.int64), starts) > 0)
+        few = used & (sizes <= PAIRS_UP_TO)
+        m = np.repeat(few, sizes)
+        v, x, x2, k = value[m], fp[m], fp2[m], ids[m]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in range(1, int(sizes[few].max(initial=0))):
+            hit = np.flatnonzero((v[s:] == v[:-s]) & (np.bitwise_count(x[s:] ^ x[:-s]) <= distance) & (np.bitwise_count(x2[s:] ^ x2[:-s]) <= distance2))
+            left.append(hit)
+            right.append(hit + s)
+        a, b = [k], [k[shared_labels(len(k), np.concatenate(left), np.concatenate(right))]]
+        for s, n in zip(starts[used & ~few], sizes[used & ~few]):
+            a.append(ids[s : s + n])
+            b.append(ids[s : s + n][_alike_labels(fp[s : s + n], fp2[s : s + n], distance, distance2)])
+        a, b = np.concatenate(a), np.concatenate(b)
+        both = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+        return both[:, 0], both[:, 1]
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def out(cols):
+            for k in np.unique(cols[0]):
+                m = cols[0] == k
+                a, b = links(cols[1][m], cols[2][m].view(np.uint64), cols[3][m].view(np.uint64), cols[4][m], cols[5][m])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
+            if sum(len(h[0]) for h in held) < 100_000:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held)]
+            change = np.flatnonzero((cols[1][1:] != cols[1][:-1]) | (cols[0][1:] != cols[0][:-1]))
+            whole = int(change[-1]) + 1 if len(change) else 0  # rows up to here complete their buckets
+            yield from out([c[:whole] for c in cols]) if whole else ()
+            held = [[c[whole:] for c in cols]]
+        if held:
+            yield from out([np.concatenate(c) for c in zip(*held)])
+
+    return rows.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(run, "a long, b long")
+
+
+def _split_buckets(rows: DataFrame, hot: DataFrame, dense: int) -> DataFrame:
+    """Rows of hot buckets (part, value, count), dealt out so that any two of a bucket meet in a smaller one.
+
+    A bucket's rows fall into blocks of dense / 2; each pair of blocks is a bucket.
+    """
+    x = rows.join(hot, ["part", "value"])
+    n = F.ceil(F.col("count") / (dense / 2)).cast("long")
+    x = x.withColumn("__n", n).withColumn("__i", F.pmod(F.xxhash64("id"), F.col("__n")))
+    x = x.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    return x.withColumn("value", F.xxhash64("value", F.least("__i", "__j"), F.greatest("__i", "__j"))).select(rows.columns)
+
+
+def alike(docs: DataFrame, *, distance: int = 7, similarity: float = 0.8, shingle: int = 5, seed: int = 42, dense: int = 20_000) -> DataFrame:
+    """doc_id and component_id of documents that are near-duplicates by two fingerprints.
+
+    Edits of a few words hardly move a fingerprint of the distinct words, so
+    pairs within `distance` bits there are candidates; they are linked if their
+    fingerprints of `shingle`-word shingles agree in at least `similarity` of 64
+    bits. component_id is the smallest doc_id reachable over links. Rows without
+    a doc_id are left out; equal doc_ids are one document where their texts are
+    equal, else each text links its own; an empty table gives no rows.
+    """
+    sig = cut(_two_fingerprints(docs.where("doc_id is not null"), shingle, seed))
+    nodes = cut(sig.groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")))
+    n, both = bit_counts(nodes)
+    rows = _filed_twice(nodes, plan(n, both, distance, at_least=10**6))
+    distance2 = int(64 * (1 - similarity))
+    found = _alike_links(rows, distance, distance2)
+    if n > dense:
+        hot = cut(rows.groupBy("part", "value").count().where(F.col("count") > dense))
+        if hot.limit(1).count():
+            cold = _alike_links(rows.join(hot.select("part", "value"), ["part", "value"], "left_anti"), distance, distance2)
+            found = cold.unionByName(_alike_links(_split_buckets(rows, hot, dense), distance, distance2))
+    # Equal ids of different texts are one node already: a doc_id links all its texts.
+    label = components(found)
+    named = nodes.join(label, nodes.id == label.node, "left").select("fp", "fp2", F.coalesce("label", "id").alias("component_id"))
+    return sig.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
+
+
+__all__ = ["alike", "fingerprint", "fingerprints", "link_fingerprints", "near_duplicates"]
