@@ -75,7 +75,7 @@ def spans_removed(rows, run=2, least=24):
 
 def test_span_dedup(docs, empty):
     got = span_dedup.deduplicate(docs)
-    assert got.columns == [*docs.columns, "n_sentences", "n_removed"]
+    assert got.columns == [*docs.columns, "n_removed"]
     assert rows_of(got, "doc_id", "n_removed") == sorted(spans_removed(pairs(docs)), key=repr)
     for r in got.select("doc_id", "text", "n_removed").collect():
         if not r.n_removed:
@@ -359,7 +359,7 @@ def test_context_tree_mixture():
     text = bytes(rng.choice(b"abcab ") for _ in range(400))
     data, at = np.frombuffer(text, np.uint8), np.array([0, 150, 150, 400])
     codes, n = ctw.trigrams(data, at)
-    row, table = ctw.code_lengths(codes, n.astype(float))
+    row, table, _ = ctw.code_lengths(codes, n.astype(float))
     counts: dict = {}
     for c, k in zip(codes.tolist(), n.tolist()):
         a, b, x = c >> 16, c >> 8 & 255, c & 255
@@ -404,6 +404,74 @@ def test_context_tree_mixture():
         assert total == pytest.approx(1, rel=1e-3)
 
 
+def naive_tree(texts, nodes, depth):
+    """Weighted probabilities by recursion over a pruned context tree; nodes: contexts of 3 bytes and more."""
+    from math import exp, lgamma, log
+
+    counts: dict = {}
+    for t in texts:
+        s = b"\0" * depth + t + b"\xff"
+        for i in range(depth, len(s)):
+            for level in range(8):
+                key, bit = (1 << level) | (s[i] >> (8 - level)), s[i] >> (7 - level) & 1
+                for d in range(depth + 1):
+                    counts.setdefault((s[i - d : i], key), [0, 0])[bit] += 1
+    seen2 = {c for c, _ in counts if len(c) == 2}
+    has = lambda c: len(c) < 2 or (c in seen2 if len(c) == 2 else c in nodes)
+    kids = {c: [k for k in {x for x, _ in counts} if len(k) == len(c) + 1 and k.endswith(c) and has(k)] for c in {x for x, _ in counts} if has(c)}
+    kt = lambda z, o: lgamma(z + 0.5) + lgamma(o + 0.5) - log(3.141592653589793) - lgamma(z + o + 1)
+
+    def rest(c, key):
+        z, o = counts.get((c, key), (0, 0))
+        return z - sum(counts.get((k, key), (0, 0))[0] for k in kids.get(c, ())), o - sum(counts.get((k, key), (0, 0))[1] for k in kids.get(c, ()))
+
+    def weighted(c, key):
+        own = kt(*counts.get((c, key), (0, 0)))
+        below = kt(*rest(c, key)) + sum(weighted(k, key) for k in kids.get(c, ()))
+        return log(0.5) + own + log(1 + exp(below - own))
+
+    def one(past, key):
+        path = [past[len(past) - d :] for d in range(depth + 1)]
+        last = max(d for d, c in enumerate(path) if all(has(x) and x in kids for x in path[: d + 1]) or d < 2)
+        z, o = rest(path[last], key)
+        p = (o + 0.5) / (z + o + 1)
+        for c in reversed(path[: last + 1]):
+            z, o = counts.get((c, key), (0, 0))
+            w = exp(log(0.5) + kt(z, o) - weighted(c, key))
+            p = w * (o + 0.5) / (z + o + 1) + (1 - w) * p
+        return p
+
+    def byte(past, x):
+        out = 1.0
+        for level in range(8):
+            p = one(past, (1 << level) | (x >> (8 - level)))
+            out *= p if x >> (7 - level) & 1 else 1 - p
+        return out
+
+    return byte
+
+
+def test_deep_contexts(spark):
+    from math import log10
+
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abab ") for _ in range(n)) for n in (60, 0, 90, 40)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    codes, n = ctw.trigrams(data, at)
+    model = ctw.learn(df, codes, n, len(texts), 5, 1 / 90)
+    contexts = model[2]
+    nodes = {bytes(x) for d in contexts.names for x in contexts.names[d].tolist()}
+    assert max(map(len, nodes)) == 5
+    byte = naive_tree(texts, nodes, 5)
+    new = [b"ab ba", b"", b"zz ab", texts[0][:20]]
+    got = ctw.log_probability(np.frombuffer(b"".join(new), np.uint8), np.r_[0, np.cumsum([len(t) for t in new])], *model)
+    for t, g in zip(new, got):
+        s = b"\0" * 5 + t + b"\xff"
+        assert g == pytest.approx(sum(log10(byte(s[:i], s[i])) for i in range(5, len(s))), rel=1e-4)
+    assert sum(byte(b"\0\0ab a"[-5:], x) for x in range(256)) == pytest.approx(1)
+
+
 def test_scores_are_probabilities(docs):
     got = ctw.score(docs).collect()
     assert all(r.score < 0 for r in got)
