@@ -13,7 +13,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.deduplicate(read(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+    return span_dedup.deduplicate(read(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
