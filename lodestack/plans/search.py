@@ -81,6 +81,13 @@ def _stripped(p: Planned, raw: Column) -> Column:
     return F.regexp_replace(x, tx.HYPHENS, "") if p.query.ignore_hyphens else x
 
 
+def _hits(p: Planned) -> Column:
+    """Occurrences in raw_text: of the pattern, or of all terms in its normal form."""
+    if p.pattern:
+        return F.regexp_count(F.coalesce("raw_text", F.lit("")), F.lit(p.pattern)).cast("long")
+    return tx.hits(tx.normalized("raw_text", **p.query.flags), p.terms)
+
+
 def _content(p: Planned, blocks: DataFrame, files: DataFrame) -> DataFrame:
     rows = blocks.where(source_filter(p.query))
     if p.pattern:
@@ -91,7 +98,8 @@ def _content(p: Planned, blocks: DataFrame, files: DataFrame) -> DataFrame:
         rows = rows.where(confirmed(p, stored if plain else tx.normalized(stored, **p.query.flags)))
     names = ["path", "filename", "extension", "size_bytes", "modified_time", "parse_status"]
     keep = files.select("file_id", "document_id", *names)
-    rows = rows.select("block_id", "file_id", "document_id", "location_text", "raw_text", F.coalesce("source_type", F.lit("native_text")).alias("source_type"), "ocr_confidence")
+    # Hits are counted before the join, so no text is shuffled.
+    rows = rows.select("block_id", "file_id", "document_id", "location_text", _hits(p).alias("__hits"), F.coalesce("source_type", F.lit("native_text")).alias("source_type"), "ocr_confidence")
     return of_files(rows, keep).withColumn("file_id", F.col("__file")).drop("__file", "__document", "document_id")
 
 
@@ -106,7 +114,7 @@ def _metadata(p: Planned, files: DataFrame) -> DataFrame:
         if p.query.mode == "filename":  # every term has to occur, though the first one confirms
             rows = rows.where(reduce(lambda a, b: a & b, (own.contains(t) for t in p.terms)))
     null = lambda kind: F.lit(None).cast(kind)
-    return rows.select(null("long").alias("block_id"), "file_id", F.lit("").alias("location_text"), "raw_text", F.lit("metadata").alias("source_type"), null("double").alias("ocr_confidence"), "path", "filename", "extension", "size_bytes", "modified_time", "parse_status")
+    return rows.select(null("long").alias("block_id"), "file_id", F.lit("").alias("location_text"), _hits(p).alias("__hits"), F.lit("metadata").alias("source_type"), null("double").alias("ocr_confidence"), "path", "filename", "extension", "size_bytes", "modified_time", "parse_status")
 
 
 def candidates(p: Planned, blocks: DataFrame, files: DataFrame) -> DataFrame:
@@ -120,12 +128,8 @@ def candidates(p: Planned, blocks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def scored(p: Planned, rows: DataFrame) -> DataFrame:
-    """hits, score, is_fuzzy and the shown location of each row; drops texts."""
-    if p.pattern:
-        hits = F.regexp_count(F.coalesce("raw_text", F.lit("")), F.lit(p.pattern)).cast("long")
-    else:
-        hits = tx.hits(tx.normalized("raw_text", **p.query.flags), p.terms)
-    return _scored_rows(rows.withColumn("__hits", hits), F.lit(p.terms[0]), p.query)
+    """hits, score, is_fuzzy and the shown location of each row."""
+    return _scored_rows(rows, F.lit(p.terms[0]), p.query)
 
 
 def _scored_rows(rows: DataFrame, first: Column, query: SearchQuery) -> DataFrame:
