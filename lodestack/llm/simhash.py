@@ -457,7 +457,8 @@ def alike(docs: DataFrame, *, distance: int = 7, similarity: float = 0.8, shingl
     sig = cut(_two_fingerprints(docs.where("doc_id is not null"), shingle, seed))
     nodes = cut(sig.groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")))
     n, both = bit_counts(nodes)
-    rows = _filed_twice(nodes, plan(n, both, distance, at_least=10**6))
+    # A row is shuffled and sorted, a pair is compared in place: hence the row's price.
+    rows = _filed_twice(nodes, plan(n, both, distance, at_least=10**6, row_cost=100.0))
     distance2 = int(64 * (1 - similarity))
     found = _alike_links(rows, distance, distance2)
     if n > dense:
