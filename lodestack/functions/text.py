@@ -28,13 +28,14 @@ CJK = "[㐀-䶿一-鿿豈-﫿]"
 def normalized(text: Column | str, *, case_sensitive: bool = False, ignore_spaces: bool = False, ignore_hyphens: bool = False, ignore_punctuation: bool = False) -> Column:
     """Canonical form of text as a Column, but for NFKC (see `compose`). Null is empty."""
     x = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    x = F.regexp_replace(x, "\r\n?", "\n")
-    x = F.regexp_replace(F.regexp_replace(x, ZERO_WIDTH, ""), CONTROL, " ")
-    if ignore_hyphens:
-        x = F.regexp_replace(x, HYPHENS, "")
-    if ignore_punctuation:
-        x = F.regexp_replace(x, "(?U)" + PUNCTUATION, "")
-    x = F.trim(F.regexp_replace(x, r"(?U)\s+", "" if ignore_spaces else " "))
+    # Line ends and control characters are white space in the end; so one pattern covers
+    # them, and a plainer one serves texts of ASCII, most of what is read.
+    blank = "" if ignore_spaces else " "
+    cut = ([HYPHENS] if ignore_hyphens else []) + (["(?U)" + PUNCTUATION] if ignore_punctuation else [])
+    removed = lambda y: reduce(lambda z, pattern: F.regexp_replace(z, pattern, ""), cut, y)
+    ascii_form = F.regexp_replace(removed(x), r"[\x00-\x20\x7F]+", blank)
+    wide_form = F.regexp_replace(removed(F.regexp_replace(x, ZERO_WIDTH, "")), r"(?U)[\s\x00-\x1F\x7F]+", blank)
+    x = F.trim(F.when(F.octet_length(x) == F.length(x), ascii_form).otherwise(wide_form))
     return x if case_sensitive else F.lower(x)
 
 

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
+#: Text tables up to this size are dealt out anew: a file of one row group is one task's.
+SMALL_BYTES = 64 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if table == "documents" and 1 << 20 < int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def seconds(ts: str = "ts") -> Column:
