@@ -1,0 +1,119 @@
+"""Pairs of sets of word shingles whose Jaccard index reaches a bound.
+
+Candidates share one of BANDS keys, each made of DEPTH minimum hashes; pairs of
+index J do so with probability 1 - (1 - J ** DEPTH) ** BANDS, 0.9999 at 0.8.
+What meets is verified on the sets themselves, as 32-bit hashes of the shingles.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, cut_table
+
+BANDS, DEPTH = 24, 5
+LARGE = 4_000_000  # shingles of a bucket from which on it is dealt out in pairs of blocks
+
+_RNG = np.random.default_rng(42)
+_TIMES = _RNG.integers(0, 1 << 31, (BANDS * DEPTH, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _RNG.integers(0, 1 << 32, (BANDS * DEPTH, 1), np.uint32)
+
+
+def grams(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, sorted; fewer words are one shingle, none are none."""
+    n = min(shingle, len(words))
+    if not n:
+        return np.zeros(0, np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(n))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(seed)), np.uint64, len(words) - n + 1))
+
+
+def short(hashes: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of sorted hashes: what sets are compared by."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def keys(of: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set that isn't empty."""
+    low = np.full(BANDS * DEPTH, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(of), 2048):
+        np.minimum(low, (of[i : i + 2048] * _TIMES + _PLUS).min(axis=1), out=low)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for x in low.reshape(BANDS, DEPTH).T.astype(np.uint64):
+        key = (key ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def set_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Components (smallest position) of sets that aren't empty, over pairs of at least `similarity`.
+
+    A pivot is compared with all sets. Once all but one component's members have
+    been pivots, no pair of different components is left.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    at = np.r_[0, np.cumsum(sizes)[:-1]]
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    label, waits = np.arange(n), np.ones(n, bool)
+    while True:
+        left = np.flatnonzero(waits & (label != np.bincount(label).argmax()))
+        if not len(left):
+            return label
+        p = left[0]
+        waits[p] = False
+        marked = np.zeros(len(kinds), bool)
+        marked[flat[at[p] : at[p] + sizes[p]]] = True
+        both = np.add.reduceat(marked[flat].astype(np.int64), at)
+        found = np.unique(label[both / (sizes + sizes[p] - both) >= similarity])
+        label[np.isin(label, found)] = found[0]
+
+
+def _bucket_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows: key, s, grams. Links (a, b) that span what is linked inside each bucket."""
+
+    def run(batches):
+        def out(ids, sets):
+            if len(ids) > 1:
+                ids = np.array(ids, np.int64)
+                label = set_labels(sets, similarity)
+                at = np.flatnonzero(label != np.arange(len(ids)))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["a", "b"])
+
+        key, ids, sets = None, [], []
+        for batch in batches:
+            for k, s, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if k != key:
+                    yield from out(ids, sets)
+                    key, ids, sets = k, [], []
+                ids.append(s)
+                sets.append(np.frombuffer(g, np.uint32))
+        yield from out(ids, sets)
+
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "s", "grams").mapInArrow(run, "a long, b long")
+
+
+def links(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets: s (names a set), keys, grams (32-bit hashes, as bytes), rows may repeat. Returns links a, b of names.
+
+    Buckets of the same members are compared once. Those of more than LARGE
+    shingles fall into blocks of half of that, and each pair of blocks is a bucket.
+    """
+    filed = cut_table(sets.select("s", "keys").dropDuplicates(["s"]).select(F.explode("keys").alias("key"), "s"))
+    buckets = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(1))).alias("y")).where("n > 1")
+    rows = filed.join(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+    rows = cut_table(rows.join(sets.select("s", "grams").dropDuplicates(["s"]), "s").select("key", "s", "grams"))
+    large = cut(rows.groupBy("key").agg(F.sum(F.octet_length("grams") / 4).alias("n")).where(F.col("n") > LARGE))
+    if not large.limit(1).count():
+        return _bucket_links(rows, similarity)
+    x = rows.join(large, "key").withColumn("__n", F.ceil(F.col("n") / (LARGE / 2)).cast("long"))
+    x = x.withColumn("__i", F.pmod(F.xxhash64("s"), F.col("__n"))).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    x = x.withColumn("key", F.xxhash64("key", F.least("__i", "__j"), F.greatest("__i", "__j"))).select("key", "s", "grams")
+    return _bucket_links(rows.join(large.select("key"), "key", "left_anti"), similarity).unionByName(_bucket_links(x, similarity))

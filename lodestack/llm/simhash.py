@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_labels, small_batches, text_bytes, words_of
+from . import jaccard
+from .common import cut, cut_table, shared_labels, small_batches, text_bytes, words_of
 from .components import components
 
 ONE = np.uint64(1)
@@ -335,21 +336,27 @@ def near_duplicates(docs: DataFrame, *, distance: int = 3, shingle: int = 3, see
 
 
 def _two_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """doc_id, fp (of the distinct words) and fp2 (of the word shingles)."""
+    """doc_id, fp (of the distinct words), fp2 (of the word shingles), and of the shingles' set its name s, keys and grams."""
 
     def run(batches):
         for b in small_batches(batches):
             data, at = text_bytes(b.column(1))
             data = data.tobytes()
-            one, two = [], []
+            one, two, names, keys, sets = [], [], [], [], []
             for i, j in zip(at[:-1], at[1:]):
                 words = words_of(data[i:j])
                 kinds = set(words)
                 one.append(_majority(np.fromiter(map(xxhash.xxh64_intdigest, kinds, repeat(seed)), np.uint64, len(kinds))) if kinds else 0)
                 two.append(_of_words(words, shingle, seed))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))], names=["doc_id", "fp", "fp2"])
+                grams = jaccard.grams(words, shingle, seed)
+                short = jaccard.short(grams)
+                names.append(xxhash.xxh64_intdigest(grams, seed))
+                keys.append(jaccard.keys(short) if len(short) else [])
+                sets.append(short.tobytes())
+            hashes = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two, names))
+            yield pa.RecordBatch.from_arrays([b.column(0), *hashes, pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "fp", "fp2", "s", "keys", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long, s long, keys array<long>, grams binary")
 
 
 def _filed_twice(nodes: DataFrame, scheme: list[tuple[list[int], int]]) -> DataFrame:
@@ -445,16 +452,17 @@ def _split_buckets(rows: DataFrame, hot: DataFrame, dense: int) -> DataFrame:
 
 
 def alike(docs: DataFrame, *, distance: int = 7, similarity: float = 0.8, shingle: int = 5, seed: int = 42, dense: int = 20_000) -> DataFrame:
-    """doc_id and component_id of documents that are near-duplicates by two fingerprints.
+    """doc_id and component_id of documents that are near-duplicates by two fingerprints or their shingles.
 
     Edits of a few words hardly move a fingerprint of the distinct words, so
     pairs within `distance` bits there are candidates; they are linked if their
     fingerprints of `shingle`-word shingles agree in at least `similarity` of 64
-    bits. component_id is the smallest doc_id reachable over links. Rows without
+    bits. Pairs that share a key of `jaccard` are linked too if the Jaccard index
+    of their shingles is at least `similarity`. component_id is the smallest doc_id reachable over links. Rows without
     a doc_id are left out; equal doc_ids are one document where their texts are
     equal, else each text links its own; an empty table gives no rows.
     """
-    sig = cut(_two_fingerprints(docs.where("doc_id is not null"), shingle, seed))
+    sig = cut_table(_two_fingerprints(docs.where("doc_id is not null"), shingle, seed))
     nodes = cut(sig.groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")))
     n, both = bit_counts(nodes)
     # A row is shuffled and sorted, a pair is compared in place: hence the row's price.
@@ -466,6 +474,14 @@ def alike(docs: DataFrame, *, distance: int = 7, similarity: float = 0.8, shingl
         if hot.limit(1).count():
             cold = _alike_links(rows.join(hot.select("part", "value"), ["part", "value"], "left_anti"), distance, distance2)
             found = cold.unionByName(_alike_links(_split_buckets(rows, hot, dense), distance, distance2))
+    # A set may belong to several nodes (texts that repeat shingles), and a node to several sets.
+    ids = cut(sig.select("fp", "fp2", "s").distinct().join(nodes, ["fp", "fp2"]).select("s", "id").distinct())
+    first = cut(ids.groupBy("s").agg(F.min("id").alias("first")))
+    same = ids.join(first, "s").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    near = jaccard.links(sig.where(F.size("keys") > 0), similarity).distinct()
+    for x in "ab":
+        near = near.join(first.withColumnRenamed("s", x), x).drop(x).withColumnRenamed("first", x)
+    found = found.unionByName(same).unionByName(near)
     # Equal ids of different texts are one node already: a doc_id links all its texts.
     label = components(found)
     named = nodes.join(label, nodes.id == label.node, "left").select("fp", "fp2", F.coalesce("label", "id").alias("component_id"))

@@ -1,0 +1,71 @@
+"""Links by the exact Jaccard index of word shingles."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+from lodestack.llm import jaccard, simhash
+
+from . import brute
+from .conftest import sentence
+
+
+def shingles(text: str) -> set:
+    w = brute.words(brute.lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def index(a: str, b: str) -> float:
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def test_appended_block_is_linked(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for k in range(0, 80, 2):
+        text = " ".join(sentence(rng, 12) for _ in range(25))
+        other = text + " " + " ".join(sentence(rng, 12) for _ in range(5))  # 300 of 360 words
+        assert index(text, other) >= 0.8
+        rows += [(k, text), (k + 1, other)]
+    missed = sum((brute.word_fingerprint(a) ^ brute.word_fingerprint(b)).bit_count() > 7 or (brute.fingerprint(a, 5) ^ brute.fingerprint(b, 5)).bit_count() > 12 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    assert missed > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for large in (jaccard.LARGE, 300):  # buckets dealt out again
+        monkeypatch.setattr(jaccard, "LARGE", large)
+        assert sorted(map(tuple, simhash.alike(docs).collect())) == [(k, k // 2 * 2) for k in range(80)]
+
+
+def test_repeated_shingles_are_one_set(spark):
+    rng = random.Random(5)
+    once = sentence(rng, 40).rstrip(".")
+    text = f"{once} {once} "
+    docs = spark.createDataFrame([(1, text * 2), (2, text * 9), (3, once), (4, "a b"), (5, "A  B"), (6, "a"), (7, ""), (8, None)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.alike(docs).collect()}
+    assert [got[k] for k in (1, 2, 4, 5, 6)] == [1, 1, 4, 4, 6]
+
+
+def test_set_labels_equal_all_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 32, (5, 60), np.uint32)
+    sets = [np.unique(np.where(rng.random(60) < rng.random() / 4, rng.integers(0, 1 << 32, 60, np.uint32), base[k % 5])) for k in range(120)]
+    label = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert 5 < len(set(label)) < 120
+    assert jaccard.set_labels(sets, 0.8).tolist() == label
+
+
+def test_keys_meet_at_the_bound():
+    """Recall of the candidates at an index of 0.8 is 0.9999 in theory."""
+    rng = np.random.default_rng(2)
+    met = 0
+    for _ in range(2000):
+        x = rng.integers(0, 1 << 32, 200, np.uint32)
+        a, b = np.unique(x[:180]), np.unique(x[20:])  # 160 of 200
+        met += bool((jaccard.keys(a) == jaccard.keys(b)).any())
+    assert met >= 1990
