@@ -4,15 +4,19 @@ Every run of consecutive sentences that has at least `run` sentences and
 `min_words` words (the shortest such run from each sentence) is hashed; runs
 that occur more than once are found by a join over all texts. The first
 occurrence stays; sentences that any other occurrence covers are removed.
-Sentences end at . ! ? or a line's end; those of more than `long_words` words
-are cut between words by the bytes that meet there, so that a passage is cut
-alike wherever it stands.
+Sentences end at a line's end or at . ! ? and their like in other scripts. Of
+every `gaps` neighbouring gaps between words in a sentence, that of the smallest
+hash of the words beside it is a cut too, so no piece has more than `gaps` words
+and a passage is cut alike wherever it stands, but for gaps - 1 gaps at its ends.
+A passage of 4 * gaps + min_words - 1 words thus holds a run: at 7 and 24, 51.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -20,50 +24,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_table, small_batches, text_bytes, words_of
-
-_PIECE = re.compile(rb"[^.!?\n]*[.!?\n]+[ \t-\r]*|[^.!?\n]+")
-
-
-def _class(divisor: int, rest: int) -> bytes:
-    """Bytes that leave `rest` when divided, in lower case, as the inside of a pattern's class."""
-    return b"".join(rb"\x%02x" % b for b in range(33, 256) if (b + 32 if 65 <= b <= 90 else b) % divisor == rest)
-
-
-#: White space between two words whose meeting bytes call for a cut: about one in six.
-_CUT = re.compile(rb"(?<=[" + _class(2, 0) + rb"])[ \t-\r]+(?=[" + _class(3, 1) + rb"])")
-
-
-def sentences(text: bytes, long_words: int = 12) -> list[bytes]:
+from .common import LOWER, cut_table, small_batches, text_bytes
+
+_END = re.compile(rb"[.!?\n]+[ \t-\r]*")
+#: Likewise with the Arabic, Urdu, Indic, Ethiopic, Burmese, Khmer and East Asian signs.
+_ENDS = re.compile(rb"(?:[.!?\n]|\xd8\x9f|\xdb\x94|\xe0\xa5[\xa4\xa5]|\xe1\x8d[\xa2\xa7\xa8]|\xe1\x81[\x8a\x8b]|\xe1\x9f[\x94\x95]|\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]|\xef\xbd\xa1)+[ \t-\r]*")
+_LEADS = re.compile(rb"[\xd8\xdb\xe0\xe1\xe3\xef]")
+
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_RNG = np.random.default_rng(42)
+_BYTE = np.where(_WHITE, 0, _RNG.integers(1, 1 << 63, 256, np.uint64))[np.frombuffer(LOWER, np.uint8)]
+_ZERO, _HALF, _LOWER_HALF = np.zeros(1, np.int64), np.uint64(32), np.uint64(0xFFFFFFFF)
+_PLACE = _RNG.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _cuts(text: bytes, bounds: np.ndarray, gaps: int) -> np.ndarray:
+    """Starts of words before which a sentence is cut. bounds: 0 and the sentences' ends."""
+    data = np.frombuffer(text, np.uint8)
+    word = ~_WHITE[data]
+    start = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+    first = 0 if word[0] else int(start[0]) if len(start) else len(data)
+    start = np.concatenate((_ZERO, start)) if word[0] else start
+    if len(start) <= gaps:
+        return start[:0]
+    size = np.diff(start, append=len(data))
+    place = np.arange(first, len(data)) - np.repeat(start, size)
+    word = np.add.reduceat(_BYTE[data[first:]] * _PLACE[np.minimum(place, 63, out=place)], start - first)
+    word ^= word >> _HALF
+    gap = (word[:-1] * _PLACE[0] + word[1:]) * _PLACE[1]
+    at = start[1:]
+    sentence = np.searchsorted(bounds, at, "right")
+    inside = bounds[sentence - 1] < at  # else the sentence begins here
+    gap, at, sentence = gap[inside], at[inside], sentence[inside]
+    if len(at) < gaps:
+        return at[:0]
+    # The hash's upper half and the place: of equal hashes, the first counts.
+    low, width = gap >> _HALF << _HALF | np.arange(len(gap), dtype=np.uint64), 1
+    while width < gaps:
+        step = min(width, gaps - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    chosen = np.zeros(len(at), bool)
+    chosen[low[sentence[: len(low)] == sentence[gaps - 1 :]] & _LOWER_HALF] = True
+    return at[chosen]
+
+
+def sentences(text: bytes, gaps: int = 7) -> list[bytes]:
     """Pieces that make up the text, each with the white space behind it."""
-    out = []
-    for piece in _PIECE.findall(text):
-        if piece.count(b" ") < long_words:
-            out.append(piece)
-            continue
-        start = 0
-        for m in _CUT.finditer(piece):
-            out.append(piece[start : m.end()])
-            start = m.end()
-        if start < len(piece):
-            out.append(piece[start:])
-    return out
+    if not text:
+        return []
+    bounds = [0, *(m.end() for m in (_ENDS if _LEADS.search(text) else _END).finditer(text))]
+    at = sorted({*bounds, *_cuts(text, np.array(bounds), gaps).tolist(), len(text)})
+    return [text[i:j] for i, j in zip(at, at[1:])]
 
 
-def spans(pieces: list[bytes], run: int, min_words: int) -> list[tuple[int, int, int]]:
+def spans(pieces: list[bytes], run: int, min_words: int) -> list[tuple[int, int, bytes]]:
     """(first, last + 1, 128-bit hash) of the shortest run from each piece that is long enough."""
-    words = [words_of(p) for p in pieces]
+    words = [p.translate(LOWER).split() for p in pieces]
     real = [i for i, w in enumerate(words) if w]
     flat = [b" ".join(words[i]) for i in real]
     sizes = [len(words[i]) for i in real]
-    out, end, total = [], 0, 0
-    for i in range(len(real)):
-        while end < len(real) and (total < min_words or end - i < run):
+    whole = memoryview(b" ".join(flat))
+    at = [0, *accumulate(len(x) + 1 for x in flat)]
+    out, end, total, n = [], 0, 0, len(real)
+    for i in range(n):
+        while end < n and (total < min_words or end - i < run):
             total += sizes[end]
             end += 1
         if total < min_words or end - i < run:
             break
-        out.append((real[i], real[end - 1] + 1, xxhash.xxh3_128_intdigest(b" ".join(flat[i:end]))))
+        out.append((real[i], real[end - 1] + 1, xxhash.xxh3_128_digest(whole[at[i] : at[end] - 1])))
         total -= sizes[i]
     return out
 
@@ -76,16 +106,11 @@ def _hashed(docs: DataFrame, run: int, min_words: int) -> DataFrame:
         for b in small_batches(batches):
             data, at = text_bytes(b.column(2))
             data = data.tobytes()
-            row, f, t, h, g = [], [], [], [], []
-            for r, (i, j) in enumerate(zip(at[:-1], at[1:])):
-                for first, last, x in spans(sentences(data[i:j]), run, min_words):
-                    row.append(r)
-                    f.append(first)
-                    t.append(last)
-                    h.append((x >> 64) - (1 << 63))
-                    g.append((x & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-            row = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), b.column(0).take(row), b.column(1).take(row), pa.array(f, pa.int32()), pa.array(t, pa.int32())], names=["h", "g", "doc_id", "k", "f", "t"])
+            found = [spans(sentences(data[i:j]), run, min_words) for i, j in zip(at[:-1], at[1:])]
+            row = pa.array(np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found]))
+            f, t, x = zip(*chain.from_iterable(found)) if len(row) else ((), (), ())
+            h, g = np.frombuffer(b"".join(x), np.int64).reshape(-1, 2).T.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), b.column(0).take(row), b.column(1).take(row), pa.array(f, pa.int32()), pa.array(t, pa.int32())], names=["h", "g", "doc_id", "k", "f", "t"])
 
     return docs.mapInArrow(go, f"h long, g long, doc_id {kind}, k long, f int, t int")
 
