@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,31 +19,85 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns the reread copy.
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the session's checkpoint folder, else the one spark.checkpoint.dir names.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    none is set (single-machine tests) a temporary one is made.
+    Only a single machine (a local master) without either gets a temporary folder;
+    on a cluster that is an error, as executors would not share it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder as a checkpoint and returns the reread copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """Like cut, as compact Parquet files in the same shared folder."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at, fs = _file_of(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _file_of(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like cut, as compact Parquet files, which go when the application ends."""
+    return _written(df)[0]
+
+
+class Scratch:
+    """Tables like those of cut_table that go when the block ends.
+
+    What the block returns must not read them any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths.append(path)
+        return out
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            at, fs = _file_of(self.spark, path)
+            fs.delete(at, True)
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"__{name}"
+        while any(t.startswith(name) for t in taken):
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in one array, and len + 1 offsets. Nulls are empty."""
     if texts.null_count:

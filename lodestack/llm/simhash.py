@@ -23,11 +23,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import jaccard
-from .common import cut, cut_table, shared_labels, small_batches, text_bytes, words_of
+from . import shingle_sets
+from .common import Scratch, cut, cut_table, shared_labels, small_batches, text_bytes, words_of
 from .components import components
 
 ONE = np.uint64(1)
@@ -172,18 +172,20 @@ def _filed(nodes: DataFrame, scheme: list[tuple[list[int], int]]) -> DataFrame:
 def dense_labels(fp: np.ndarray, distance: int) -> np.ndarray:
     """Components (smallest position) of distinct fingerprints, without all pairs.
 
-    Two fingerprints at 2 or fewer bits meet in a value one bit or less away from
+    Up to SQUARE_UP_TO, and beyond a distance of 3, blocks are compared with all.
+    Else, two fingerprints at 2 or fewer bits meet in a value one bit or less away from
     both. Members of what is then the largest component only wait; the others
     look two bits around themselves for values one bit around any other.
     """
     n = len(fp)
-    if n <= SQUARE_UP_TO:
-        a, b = [], []
+    if n <= SQUARE_UP_TO or distance > 3:
+        label = np.arange(n)
         for i in range(0, n, 256):
-            x, y = np.nonzero(np.bitwise_count(fp[i : i + 256, None] ^ fp[None, :]) <= distance)
-            a.append(x + i)
-            b.append(y)
-        return shared_labels(n, np.concatenate(a), np.concatenate(b))
+            near = np.bitwise_count(fp[i : i + 256, None] ^ fp[None, :]) <= distance
+            x, y = np.nonzero(near & (label[i : i + 256, None] != label[None, :]))
+            if len(x):
+                label = shared_labels(n, np.r_[np.arange(n), label[x + i]], np.r_[label, label[y]])
+        return label
     varies = np.bitwise_or.reduce(fp) ^ np.bitwise_and.reduce(fp)
     ones = np.array([0] + [1 << i for i in range(64) if int(varies) >> i & 1], np.uint64)
     z = (fp[:, None] ^ ones).ravel()
@@ -273,7 +275,7 @@ def _bucket_links(rows: DataFrame, distance: int) -> DataFrame:
         if held:
             yield from out()
 
-    return rows.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(run, "a long, b long")
+    return rows.repartition("part", "value").sortWithinPartitions("part", "value", "fp").mapInArrow(run, "a long, b long")
 
 
 def _ball_links(rows: DataFrame, distance: int) -> DataFrame:
@@ -335,108 +337,33 @@ def near_duplicates(docs: DataFrame, *, distance: int = 3, shingle: int = 3, see
     return sig.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
-def _two_fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """doc_id, fp (of the distinct words), fp2 (of the word shingles), and of the shingles' set its name s, keys and grams."""
+def _signatures(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """doc_id, k, fp (of the distinct words), and of the shingles' set its name s, its keys and its grams."""
 
     def run(batches):
         for b in small_batches(batches):
-            data, at = text_bytes(b.column(1))
+            data, at = text_bytes(b.column(2))
             data = data.tobytes()
-            one, two, names, keys, sets = [], [], [], [], []
+            fps, names, keys, sets = [], [], [], []
             for i, j in zip(at[:-1], at[1:]):
                 words = words_of(data[i:j])
                 kinds = set(words)
-                one.append(_majority(np.fromiter(map(xxhash.xxh64_intdigest, kinds, repeat(seed)), np.uint64, len(kinds))) if kinds else 0)
-                two.append(_of_words(words, shingle, seed))
-                grams = jaccard.grams(words, shingle, seed)
-                short = jaccard.short(grams)
+                fps.append(_majority(np.fromiter(map(xxhash.xxh64_intdigest, kinds, repeat(seed)), np.uint64, len(kinds))) if kinds else 0)
+                grams = shingle_sets.grams(words, shingle, seed)
+                short = shingle_sets.short(grams)
                 names.append(xxhash.xxh64_intdigest(grams, seed))
-                keys.append(jaccard.keys(short) if len(short) else [])
+                keys.append(shingle_sets.keys(short) if len(short) else [])
                 sets.append(short.tobytes())
-            hashes = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two, names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *hashes, pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "fp", "fp2", "s", "keys", "grams"])
+            hashes = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, names))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *hashes, pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "k", "fp", "s", "keys", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long, s long, keys array<long>, grams binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("k"), text.alias("text")).mapInArrow(run, "doc_id long, k long, fp long, s long, keys array<long>, grams binary")
 
 
-def _filed_twice(nodes: DataFrame, scheme: list[tuple[list[int], int]]) -> DataFrame:
-    """Like _filed, with id and fp2 beside."""
-
-    def run(batches):
-        for b in batches:
-            fp = np.asarray(b.column(0)).view(np.uint64)
-            for k, (bits, t) in enumerate(scheme):
-                keys = keys_of(fp, bits, t)
-                own = np.zeros(keys.shape, bool)
-                own[:, 0] = True
-                rest = [pa.array(np.repeat(np.asarray(b.column(c)), keys.shape[1])) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, k, np.int8)), pa.array(keys.ravel().view(np.int64)), *rest, pa.array(own.ravel())], names=["part", "value", "fp", "fp2", "id", "own"])
-
-    return nodes.select("fp", "fp2", "id").mapInArrow(run, "part byte, value long, fp long, fp2 long, id long, own boolean")
-
-
-def _alike_labels(fp: np.ndarray, fp2: np.ndarray, distance: int, distance2: int) -> np.ndarray:
-    """Components (smallest position) of rows alike in both fingerprints; block by block."""
-    n = len(fp)
-    label = np.arange(n)
-    for i in range(0, n, 256):
-        near = np.bitwise_count(fp[i : i + 256, None] ^ fp[None, :]) <= distance
-        near &= np.bitwise_count(fp2[i : i + 256, None] ^ fp2[None, :]) <= distance2
-        near &= label[i : i + 256, None] != label[None, :]
-        x, y = np.nonzero(near)
-        if len(x):
-            label = shared_labels(n, np.r_[np.arange(n), label[x + i]], np.r_[label, label[y]])
-    return label
-
-
-def _alike_links(rows: DataFrame, distance: int, distance2: int) -> DataFrame:
-    """Links (ids a, b) that span what is alike inside each bucket."""
-
-    def links(value, fp, fp2, ids, own):
-        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        sizes = np.diff(np.r_[starts, len(value)])
-        used = (sizes > 1) & (np.add.reduceat(own.astype(np.int64), starts) > 0)
-        few = used & (sizes <= PAIRS_UP_TO)
-        m = np.repeat(few, sizes)
-        v, x, x2, k = value[m], fp[m], fp2[m], ids[m]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s in range(1, int(sizes[few].max(initial=0))):
-            hit = np.flatnonzero((v[s:] == v[:-s]) & (np.bitwise_count(x[s:] ^ x[:-s]) <= distance) & (np.bitwise_count(x2[s:] ^ x2[:-s]) <= distance2))
-            left.append(hit)
-            right.append(hit + s)
-        a, b = [k], [k[shared_labels(len(k), np.concatenate(left), np.concatenate(right))]]
-        for s, n in zip(starts[used & ~few], sizes[used & ~few]):
-            a.append(ids[s : s + n])
-            b.append(ids[s : s + n][_alike_labels(fp[s : s + n], fp2[s : s + n], distance, distance2)])
-        a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return both[:, 0], both[:, 1]
-
-    def run(batches):
-        held: list[list[np.ndarray]] = []
-
-        def out(cols):
-            for k in np.unique(cols[0]):
-                m = cols[0] == k
-                a, b = links(cols[1][m], cols[2][m].view(np.uint64), cols[3][m].view(np.uint64), cols[4][m], cols[5][m])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
-            if sum(len(h[0]) for h in held) < 100_000:
-                continue
-            cols = [np.concatenate(c) for c in zip(*held)]
-            change = np.flatnonzero((cols[1][1:] != cols[1][:-1]) | (cols[0][1:] != cols[0][:-1]))
-            whole = int(change[-1]) + 1 if len(change) else 0  # rows up to here complete their buckets
-            yield from out([c[:whole] for c in cols]) if whole else ()
-            held = [[c[whole:] for c in cols]]
-        if held:
-            yield from out([np.concatenate(c) for c in zip(*held)])
-
-    return rows.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(run, "a long, b long")
+def text_key(text: Column | None = None) -> Column:
+    """Names a text: what `alike` gives as k. A null text is an empty one."""
+    return F.xxhash64(F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit("")))
 
 
 def _split_buckets(rows: DataFrame, hot: DataFrame, dense: int) -> DataFrame:
@@ -446,46 +373,73 @@ def _split_buckets(rows: DataFrame, hot: DataFrame, dense: int) -> DataFrame:
     """
     x = rows.join(hot, ["part", "value"])
     n = F.ceil(F.col("count") / (dense / 2)).cast("long")
-    x = x.withColumn("__n", n).withColumn("__i", F.pmod(F.xxhash64("id"), F.col("__n")))
+    x = x.withColumn("__n", n).withColumn("__i", F.pmod(F.xxhash64("fp"), F.col("__n")))
     x = x.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     return x.withColumn("value", F.xxhash64("value", F.least("__i", "__j"), F.greatest("__i", "__j"))).select(rows.columns)
 
 
-def alike(docs: DataFrame, *, distance: int = 7, similarity: float = 0.8, shingle: int = 5, seed: int = 42, dense: int = 20_000) -> DataFrame:
-    """doc_id and component_id of documents that are near-duplicates by two fingerprints or their shingles.
+def _candidates(nodes: DataFrame, distance: int, dense: int) -> DataFrame:
+    """Pairs (a, b) of set names whose fingerprints are within `distance` bits: two rows a set at most.
 
-    Edits of a few words hardly move a fingerprint of the distinct words, so
-    pairs within `distance` bits there are candidates; they are linked if their
-    fingerprints of `shingle`-word shingles agree in at least `similarity` of 64
-    bits. Pairs that share a key of `jaccard` are linked too if the Jaccard index
-    of their shingles is at least `similarity`. component_id is the smallest doc_id reachable over links. Rows without
-    a doc_id are left out; equal doc_ids are one document where their texts are
-    equal, else each text links its own; an empty table gives no rows.
+    nodes: s, fp. The search runs on distinct fingerprints, each standing for the
+    smallest name that has it. What meets in a bucket is paired with the
+    bucket's smallest fingerprint of its component; of all buckets, the smallest counts.
     """
-    sig = cut_table(_two_fingerprints(docs.where("doc_id is not null"), shingle, seed))
-    nodes = cut(sig.groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")))
-    n, both = bit_counts(nodes)
+    fps = cut(nodes.groupBy("fp").agg(F.min("s").alias("first")))
+    n, both = bit_counts(fps)
     # A row is shuffled and sorted, a pair is compared in place: hence the row's price.
-    rows = _filed_twice(nodes, plan(n, both, distance, at_least=10**6, row_cost=100.0))
-    distance2 = int(64 * (1 - similarity))
-    found = _alike_links(rows, distance, distance2)
-    if n > dense:
+    scheme = plan(n, both, distance, at_least=10**6, row_cost=100.0)
+    rows = _filed(fps, scheme)
+    found = _bucket_links(rows, distance)
+    # A bucket gathers what is filed at the values its rows probe from: no such value holds many, nor does it.
+    probes = max(sum(comb(len(bits), k) for k in range(t + 1)) for bits, t in scheme)
+    if n > dense and _filed(fps, [(bits, 0) for bits, _ in scheme]).groupBy("part", "value").count().where(F.col("count") > dense / probes).limit(1).count():
         hot = cut(rows.groupBy("part", "value").count().where(F.col("count") > dense))
         if hot.limit(1).count():
-            cold = _alike_links(rows.join(hot.select("part", "value"), ["part", "value"], "left_anti"), distance, distance2)
-            found = cold.unionByName(_alike_links(_split_buckets(rows, hot, dense), distance, distance2))
-    # A set may belong to several nodes (texts that repeat shingles), and a node to several sets.
-    ids = cut(sig.select("fp", "fp2", "s").distinct().join(nodes, ["fp", "fp2"]).select("s", "id").distinct())
-    first = cut(ids.groupBy("s").agg(F.min("id").alias("first")))
-    same = ids.join(first, "s").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    near = jaccard.links(sig.where(F.size("keys") > 0), similarity).distinct()
+            cold = _bucket_links(rows.join(hot.select("part", "value"), ["part", "value"], "left_anti"), distance)
+            found = cold.unionByName(_bucket_links(_split_buckets(rows, hot, dense), distance))
+    found = found.groupBy("a").agg(F.min("b").alias("b"))
     for x in "ab":
-        near = near.join(first.withColumnRenamed("s", x), x).drop(x).withColumnRenamed("first", x)
-    found = found.unionByName(same).unionByName(near)
-    # Equal ids of different texts are one node already: a doc_id links all its texts.
-    label = components(found)
-    named = nodes.join(label, nodes.id == label.node, "left").select("fp", "fp2", F.coalesce("label", "id").alias("component_id"))
-    return sig.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
-
-
-__all__ = ["alike", "fingerprint", "fingerprints", "link_fingerprints", "near_duplicates"]
+        found = found.join(fps.withColumnRenamed("fp", x), x).drop(x).withColumnRenamed("first", x)
+    same = nodes.join(fps, "fp").where("s <> first").select(F.col("s").alias("a"), F.col("first").alias("b"))
+    return found.select("a", "b").unionByName(same)
+
+
+def alike(docs: DataFrame, *, similarity: float = 0.8, measure: str = "cosine", distance: int = 7, shingle: int = 5, seed: int = 42, dense: int = 20_000) -> DataFrame:
+    """doc_id, k (`text_key`), component_id and is_first of documents that are near-duplicates by their word shingles.
+
+    Two texts link if the sets of their `shingle`-word shingles are at least
+    `similarity` alike, verified on the sets: by their cosine, the similarity
+    that SimHash estimates, or by their Jaccard index. Candidates are texts whose
+    SimHash fingerprints of the distinct words are within `distance` bits (edits
+    of a few words hardly move them), found by generalised pigeonhole; those that
+    are thereby linked count as one, and what is left is found by shared keys of
+    minimum hashes, which miss a pair at the bound with a probability of 0.003.
+
+    One row for each row of docs. component_id is the smallest doc_id reachable
+    over links (null if none has one); is_first marks the rows of one (doc_id, k)
+    a component, the smallest, ids before nulls. Texts of one doc_id that differ
+    are documents of their own. Null texts and texts without words are copies of
+    each other; texts of fewer words than a shingle are alike if equal in words.
+    Rows that repeat doc_id and text each get their row; other columns are
+    ignored; an empty table gives no rows.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        sig = scratch.table(_signatures(docs, shingle, seed))
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")
+        nodes = scratch.table(sig.groupBy("s").agg(F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.min(place).alias("place")))
+        rows = shingle_sets.filed(nodes, scratch)
+        pairs = _candidates(nodes.where(F.size("keys") > 0).select("s", "fp"), distance, dense)
+        pairs = scratch.table(pairs.unionByName(shingle_sets.pivots(rows)).distinct())
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(rows.select("s")).distinct()
+        sets = scratch.table(sig.select("s", "grams").join(wanted, "s").dropDuplicates(["s"]))
+        once = components(shingle_sets.verified(pairs, sets, similarity, measure))
+        more = components(shingle_sets.remaining_links(rows, once, sets, similarity, measure, scratch))
+        label = nodes.join(once, nodes.s == once.node, "left").select("s", "place", F.coalesce("label", "s").alias("low"))
+        label = cut(label.join(more, label.low == more.node, "left").select("s", "place", F.coalesce("label", "low").alias("low")))
+        label = label.join(label.groupBy("low").agg(F.min("place").alias("lowest")), "low").select("s", "lowest")
+        is_first = F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("k") == F.col("lowest.k"))
+        return cut_table(sig.select("doc_id", "k", "s").join(label, "s").select("doc_id", "k", F.col("lowest.doc_id").alias("component_id"), is_first.alias("is_first")))
+
+
+__all__ = ["alike", "fingerprint", "fingerprints", "link_fingerprints", "near_duplicates", "text_key"]

@@ -29,13 +29,8 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return majority([" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else [])
 
 
-def word_fingerprint(text: str | None) -> int:
-    return majority(set(words(lower(text or ""))))
-
-
-def components(ids: list, fps: list[int], distance: int = 3, fps2: list[int] | None = None, distance2: int = 64) -> list:
+def components(ids: list, fps: list[int], distance: int = 3) -> list:
     """Smallest id reachable over links of `distance` bits, for each row."""
-    fps2 = fps2 or [0] * len(fps)
     label = list(range(len(fps)))
 
     def find(i):
@@ -45,7 +40,7 @@ def components(ids: list, fps: list[int], distance: int = 3, fps2: list[int] | N
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= distance and (fps2[i] ^ fps2[j]).bit_count() <= distance2:
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
                 label[find(i)] = find(j)
     groups: dict[int, list] = {}
     for i in range(len(fps)):
@@ -53,6 +48,60 @@ def components(ids: list, fps: list[int], distance: int = 3, fps2: list[int] | N
     return [min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(fps))]
 
 
+def shingles(text: str | None, n: int = 5) -> frozenset:
+    w = words(lower(text or ""))
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
+
+
+def alike(texts: list, similarity: float = 0.8, measure: str = "cosine") -> list[int]:
+    """Smallest position reachable over pairs of texts whose sets of five-word shingles are alike."""
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(sets)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both / (math.sqrt(len(a) * len(b)) if measure == "cosine" else len(a | b)) >= similarity:
+                low, high = sorted((find(i), find(j)))
+                label[high] = low
+    return [find(i) for i in range(len(sets))]
+
+
+def sentences(text: str | None) -> list[str]:
+    """Pieces between sentence ends that white space follows, without cuts inside sentences."""
+    return [x for x in re.split(r"(?<=[.!?])[\x20\x09-\x0D]+|(?<=[.!?][\"')\]}])[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*", text or "") if words(x)]
+
+
+def repeated_sentences(rows: list[tuple], cut=sentences, run: int = 2, least: int = 24) -> list[set[int]]:
+    """For each (doc_id, text), in the order that tells which comes first: the pieces that a run covers which isn't the first of its kind.
+
+    All runs of `run` or more pieces and `least` or more words are compared, of any length.
+    """
+    found = []
+    for r, (_, text) in enumerate(rows):
+        pieces = [words(lower(x)) for x in cut(text)]
+        for i in range(len(pieces)):
+            content, n = hashlib.blake2b(digest_size=16), 0
+            for j in range(i, len(pieces)):
+                content.update("".join(f"{w} " for w in pieces[j]).encode())
+                n += len(pieces[j])
+                if j + 1 - i >= run and n >= least:
+                    found.append((content.digest(), r, i, j + 1))
+    first: dict = {}
+    for content, r, i, _ in found:
+        first.setdefault(content, (r, i))
+    gone: list[set[int]] = [set() for _ in rows]
+    for content, r, i, j in found:
+        if first[content] != (r, i) and not gone[r].issuperset(range(i, j)):
+            gone[r].update(range(i, j))
+    return gone
+
+
 def repeated_bytes(texts: list[bytes], length: int = 400) -> list[tuple[int, int, int, str]]:
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []

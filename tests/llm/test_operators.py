@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestack.llm import ctw, decontam, langid, licenses, packing, quality, simhash, span_dedup, suffix_dedup, suffixes, token_counts
+from lodestack.llm import ctw, decontam, langid, licenses, packing, quality, shingle_sets, simhash, span_dedup, suffix_dedup, suffixes, token_counts
 
 from . import brute
 
@@ -59,30 +59,38 @@ def test_token_counts(spark, docs, empty):
 # 2
 
 
-def spans_removed(rows, run=2, least=24):
-    """(doc_id, text) -> sentences that a non-first span covers, by comparing span texts."""
-    seen: dict = {}
-    cut = {r: span_dedup.sentences((t or "").encode()) for r, (i, t) in enumerate(rows)}
-    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0))
-    first: dict = {}
-    for r in order:
-        for f, t, h in span_dedup.spans(cut[r], run, least):
-            key = (rows[r][0], rows[r][1], f)
-            first.setdefault(h, key)
-            seen.setdefault(r, []).append((f, t, h))
-    return [(rows[r][0], sum(1 for s in range(len(cut[r])) if any(f <= s < t and first[h] != (rows[r][0], rows[r][1], f) for f, t, h in seen.get(r, ())))) for r in range(len(rows))]
-
-
-def test_span_dedup(docs, empty):
-    got = span_dedup.deduplicate(docs)
+@pytest.mark.parametrize("gaps", [10**6, 7])
+def test_span_dedup(docs, empty, gaps):
+    """Against all repeated runs; without cuts inside sentences, by another way to find these."""
+    rows = sorted(dict.fromkeys(pairs(docs)), key=lambda r: (r[0] is not None, r[0] or 0))
+    cut = (lambda t: [x.decode() for x in span_dedup.sentences((t or "").encode(), gaps)]) if gaps == 7 else brute.sentences
+    want = {}
+    for (i, t), gone in zip(rows, brute.repeated_sentences(rows, cut)):
+        want[i, len(gone), tuple(w for k, x in enumerate(cut(t)) if k not in gone for w in brute.words(x))] = 1
+    got = span_dedup.deduplicate(docs, gaps=gaps)
     assert got.columns == [*docs.columns, "n_removed"]
-    assert rows_of(got, "doc_id", "n_removed") == sorted(spans_removed(pairs(docs)), key=repr)
-    for r in got.select("doc_id", "text", "n_removed").collect():
-        if not r.n_removed:
-            assert (r.doc_id, r.text) in pairs(docs)
+    found = {(r.doc_id, r.n_removed, tuple(brute.words(r.text))): r.text for r in got.collect()}
+    assert {*found} == {*want}
+    assert sum(n > 0 for _, n, _ in found) > 15
+    assert all((i, t) in pairs(docs) for (i, n, _), t in found.items() if not n)
     assert span_dedup.deduplicate(empty).count() == 0
 
 
+def test_whole_repeated_passage_goes(spark):
+    """Its last sentences too, though no shortest run ends there; columns may have any names."""
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + ". "
+    shared = words(10) + words(10) + words(10) + words(3)
+    extra = {"n_removed": 5, "gone": "a", "__gone": "b", "__key": "c", "__id": "d", "k": 1, "h": "e", "first": 2, "Text_": "f", "more": 3}
+    rows = [(i, words(9) + shared + words(9), *extra.values()) for i in range(2)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *extra])
+    got = {r.doc_id: r.asDict() for r in span_dedup.deduplicate(df, gaps=10**6).collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert got[1]["text"] == rows[1][1].replace(shared, "")
+    assert [got[i]["n_removed"] for i in range(2)] == [0, 4]
+    assert all(got[i][c] == v for i in range(2) for c, v in extra.items() if c != "n_removed")
+
+
 def test_sentences_make_up_the_text(texts):
     for t in texts:
         assert b"".join(span_dedup.sentences((t or "").encode())) == (t or "").encode()
@@ -146,13 +154,18 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_alike_by_two_fingerprints(docs, empty, spark):
-    rows = [(i, t) for i, t in dict.fromkeys(pairs(docs)) if i is not None]
-    want = brute.components([i for i, _ in rows], [brute.word_fingerprint(t) for _, t in rows], 7, [brute.fingerprint(t, 5) for _, t in rows], 12)
-    want = sorted({(i, c) for (i, _), c in zip(rows, want)})
-    assert len({c for _, c in want}) < len(want)
-    for dense in (20_000, 6):
-        assert sorted(set(rows_of(simhash.alike(docs, dense=dense), "doc_id", "component_id"))) == want
+@pytest.mark.parametrize("measure", ["cosine", "jaccard"])
+def test_alike(docs, empty, monkeypatch, measure):
+    """Rows of one id with other texts are documents of their own; rows without an id take part."""
+    rows = sorted(pairs(docs), key=lambda r: (r[0] is None, r[0]))
+    label = brute.alike([t for _, t in rows], measure=measure)
+    want = sorted(((i, rows[c][0]) for (i, _), c in zip(rows, label)), key=repr)
+    assert len(set(label)) < len(label) - 20
+    for dense, large in ((20_000, shingle_sets.LARGE), (6, 300)):  # buckets dealt out again
+        monkeypatch.setattr(shingle_sets, "LARGE", large)
+        got = simhash.alike(docs, dense=dense, measure=measure)
+        assert rows_of(got, "doc_id", "component_id") == want
+        assert got.where("is_first").select("doc_id", "k").distinct().count() == len({c for c in label})
     assert simhash.alike(empty).count() == 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from lodestack.llm import span_dedup
@@ -22,7 +23,8 @@ def test_every_passage_of_51_words_is_found(end, letters):
         found = []
         for _ in range(2):
             text = " ".join((words(rng, rng.randint(0, 60), end, letters), passage, words(rng, rng.randint(0, 60), end, letters)))
-            found.append({h for _, _, h in span_dedup.spans(span_dedup.sentences(text.encode()), 2, 24)})
+            data = np.frombuffer(text.encode(), np.uint8)
+            found.append({*span_dedup.runs(span_dedup.cut_up(data, np.array([0, len(data)]), 7), 2, 24).h.tolist()})
         assert found[0] & found[1]
 
 
@@ -41,3 +43,35 @@ def test_passage_inside_sentences_is_cut(spark):
     left = {r.doc_id: r.text for r in span_dedup.deduplicate(docs).collect()}
     assert passage in left[0]
     assert len(left[1].split()) <= 100 - 24
+
+
+def test_batches_are_cut_like_single_texts():
+    rng = random.Random(9)
+    texts = [words(rng, rng.randint(0, 300), 0.1).encode() for _ in range(40)] + [b"", b" ", b"\n a", "。中文。".encode(), b"x" * 10_000, b"end"]
+    at = np.append(0, np.cumsum([len(t) for t in texts]))
+    whole = span_dedup.cut_up(np.frombuffer(b"".join(texts), np.uint8), at, 7)
+    for i, t in enumerate(texts):
+        one = span_dedup.cut_up(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 7)
+        m = whole.text == i
+        assert (whole.word[whole.piece[m]] - at[i]).tolist() == one.word[one.piece].tolist()
+    every = span_dedup.runs(whole, 2, 24)
+    for i, t in enumerate(texts):
+        one = span_dedup.runs(span_dedup.cut_up(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 7), 2, 24)
+        m = np.flatnonzero(every.text == i)
+        assert [every.h[m].tolist(), every.first[m].tolist(), every.last[m].tolist()] == [one.h.tolist(), one.first.tolist(), one.last.tolist()]
+        assert every.longer[every.more[m[0]] : every.more[m[-1] + 1]].tolist() == one.longer.tolist() if len(m) else not len(one.longer)
+
+
+def test_words_beside_each_other_never_collide():
+    """Runs of other words have other hashes, whatever their order."""
+    rng = random.Random(10)
+    pool = ["a", "b", "ab", "ba", "x" * 5000, "x" * 4999 + "y"]
+    seen: dict = {}
+    for _ in range(400):
+        text = " ".join(rng.choice(pool) for _ in range(30)).encode()
+        one = span_dedup.runs(span_dedup.cut_up(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 7), 2, 24)
+        cut = span_dedup.cut_up(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 7)
+        edge = [*cut.piece.tolist(), 30]
+        for f, t, h in zip(one.first.tolist(), one.last.tolist(), one.h.tolist()):
+            content = tuple(text.split()[edge[f] : edge[t]])
+            assert seen.setdefault(h, content) == content

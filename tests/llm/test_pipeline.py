@@ -9,31 +9,19 @@ from lodestack.llm import span_dedup
 
 from . import brute
 from .conftest import sentence
-from .test_operators import spans_removed
 
 
 def plain_run(rows, items):
     """Rows (doc_id, text) to (doc_id, n_tokens), stage by stage."""
     rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
     rows = list(dict.fromkeys(rows))
-    named = [r for r in rows if r[0] is not None]
-    keep = brute.components([i for i, _ in named], [brute.word_fingerprint(t) for _, t in named], 7, [brute.fingerprint(t, 5) for _, t in named], 12)
-    rows = [r for r in rows if r[0] is None] + [r for r, c in zip(named, keep) if r[0] == c]
-    cut = dict(zip(rows, (n for _, n in spans_removed(rows))))
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    rows = [r for k, (r, c) in enumerate(zip(rows, brute.alike([t for _, t in rows]))) if k == c]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    cut = lambda t: [x.decode() for x in span_dedup.sentences(t.encode())]
     out = []
-    seen: set = set()
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        pieces = span_dedup.sentences(t.encode())
-        spans = span_dedup.spans(pieces, 2, 24)
-        gone = {s for f, e, h in spans if h in seen for s in range(f, e)}
-        own: set = set()
-        for f, e, h in spans:
-            if h in own:
-                gone |= set(range(f, e))
-            own.add(h)
-        seen |= own
-        assert len(gone) == cut[i, t]
-        left = b"".join(p for k, p in enumerate(pieces) if k not in gone).decode()
+    for (i, t), gone in zip(rows, brute.repeated_sentences(rows, cut)):
+        left = "".join(p for k, p in enumerate(cut(t)) if k not in gone)
         if brute.words(left):
             out.append((i, left))
     out = [(i, t) for i, t in out if not any(x in t for x in items)]
