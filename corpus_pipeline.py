@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.llm import decontam, langid, packing, simhash, span_dedup
 from lodestack.llm.common import cut_table, read
@@ -22,16 +23,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one of the smallest doc_id.
+    """Keeps one document of each group of near-duplicates: that of the smallest doc_id, ids before nulls.
 
-    Groups are those of simhash.alike: five-word shingles, a similarity of 0.8. Of
-    rows that repeat a doc_id one stays; rows without a doc_id all stay, since a
-    group can't name them.
+    Groups are those of simhash.alike: five-word shingles, a similarity of 0.8.
+    Rows of one doc_id (or of none) with other texts are documents of their own;
+    of rows equal in both, the one with the smallest other columns stays.
     """
-    found = simhash.alike(docs)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(keep, docs.doc_id == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    keep = simhash.alike(docs).where("is_first").select("doc_id", "k").distinct()
+    rows = docs.alias("d").join(keep.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (simhash.text_key(F.col("d.text")) == F.col("f.k")), "left_semi")
+    ordered = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    one = rows.groupBy(F.col("doc_id").alias("__d"), simhash.text_key().alias("__k")).agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("__row"))
+    return one.select("__row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
