@@ -2,7 +2,10 @@
 
 A suffix automaton of labelled text per language gives, from any place of a
 text, the longest string that occurs in that language's text. A text is parsed
-into such phrases; the language that needs the fewest phrases per byte wins.
+into such phrases. A phrase is named by a place in the training text and a
+length, so with n bytes of training text it counts as log2(n) + LENGTH_BITS bits;
+the language that needs the fewest bits wins. A language of less training text
+has shorter phrases at a lower price, and takes nothing from the others.
 
 The automata become dense transition tables in which a failed step starts a new
 phrase, so a whole batch is parsed in lockstep with array operations: texts are
@@ -12,6 +15,7 @@ laid out in blocks of `block` bytes, and a phrase ends with its block.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,11 @@ from pyspark.sql.window import Window
 
 from .common import small_batches, text_bytes
 
-SAMPLE_BYTES = 40_000
+SAMPLE_BYTES = 40_000  # training text of a language, at most
+TOTAL_BYTES = 800_000  # of all languages together, which then get equal parts of it at most
 SAMPLE_ROWS = 100
+EXCERPT = 20_000  # characters of a longer training text that are used, from a place that its hash names
+LENGTH_BITS = 4
 
 
 def prepared(text: str) -> bytes:
@@ -68,6 +75,7 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
     return to
 
 
+@lru_cache(maxsize=256)  # a worker builds each language's table once
 def parse_table(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Class of each byte, and table[state * classes + class] = next state * 2 + 1 if a phrase begins.
 
@@ -117,10 +125,13 @@ def phrases(data: np.ndarray, at: np.ndarray, classes: np.ndarray, table: np.nda
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """Up to `rows` labelled texts of each language, in hash order: the bounded training sample.
 
-    Hashes alone are ranked, first within 64 classes of them, so no task ranks a
+    Texts of any length count; of longer ones an excerpt of EXCERPT characters is
+    used. Hashes alone are ranked, first within 64 classes of them, so no task ranks a
     whole language and no text is shuffled; then the chosen texts are fetched.
     """
-    known = docs.where("lang is not null and text is not null and length(text) between 50 and 20000").select("lang", "text", F.xxhash64("text").alias("__h"))
+    text = F.col("text").cast("string")
+    place = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - EXCERPT + 1)) + 1
+    known = docs.where("lang is not null and text is not null").select("lang", F.substring(text, place.cast("int"), F.lit(EXCERPT)).alias("text"), F.xxhash64(text).alias("__h"))
     hashes = known.select("lang", "__h").distinct()
     for by in (["lang", F.pmod("__h", F.lit(64))], ["lang"]):
         hashes = hashes.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__h"))).where(F.col("__r") <= rows).drop("__r")
@@ -132,15 +143,14 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     return [(lang, text) for lang in sorted(out) for _, text in sorted(out[lang])[:rows]]
 
 
-def train(rows: list[tuple[str, str]], sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bytes]]:
-    """Text of each language, cut to the same number of bytes for all."""
+def train(rows: list[tuple[str, str]], sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> list[tuple[str, bytes]]:
+    """Text of each language, sample_bytes at most, and total_bytes for all. Texts without a letter teach nothing."""
     texts: dict[str, list[bytes]] = {}
     for lang, text in rows:
-        if len(t := prepared(text)):
+        if has_letter(text) and len(t := prepared(text)):
             texts.setdefault(lang, []).append(t)
-    joined = {lang: b" ".join(t) for lang, t in sorted(texts.items())}
-    most = min([sample_bytes, *map(len, joined.values())])
-    return [(lang, t[:most]) for lang, t in joined.items()]
+    most = min(sample_bytes, total_bytes // max(1, len(texts)))
+    return [(lang, b" ".join(t)[: max(1, most)]) for lang, t in sorted(texts.items())]
 
 
 def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = 1024, keep: list[str] | None = None) -> DataFrame:
@@ -148,6 +158,7 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = 1024,
     keep = keep or ["doc_id"]
     others = [c for c in keep if c != "text"]
     langs = [lang for lang, _ in model]
+    price = np.array([[np.log2(len(t)) + LENGTH_BITS] for _, t in model])
 
     def run(batches):
         tables = [parse_table(t) for _, t in model]
@@ -157,6 +168,7 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = 1024,
             data = np.frombuffer(b"".join(ready), np.uint8)
             at = np.r_[0, np.cumsum([len(t) for t in ready])].astype(np.int64)
             counts = np.array([phrases(data, at, c, t, block) for c, t in tables]).reshape(len(tables), len(texts))
+            bits = counts * price if len(tables) else counts
             known = (np.diff(at) > 0) & bool(len(tables))
             pred, score, n = [], [], []
             for i in range(len(texts)):
@@ -165,11 +177,11 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = 1024,
                     score.append(0.0)
                     n.append(None)
                     continue
-                order = np.argsort(counts[:, i], kind="stable")
-                best, second = counts[order[0], i], counts[order[1], i] if len(langs) > 1 else at[i + 1] - at[i] + 1
+                order = np.argsort(bits[:, i], kind="stable")
+                best, second = bits[order[0], i], bits[order[1], i] if len(langs) > 1 else (at[i + 1] - at[i]) * price[0, 0] + 1
                 pred.append(langs[order[0]])
                 score.append(float(second / (best + second)))
-                n.append(int(best))
+                n.append(int(counts[order[0], i]))
             yield pa.RecordBatch.from_arrays([*(b.column(0) if c == "text" else b.column(1 + others.index(c)) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=[*(f"c{i}" for i in range(len(keep))), "lang_pred", "score", "n_phrases"])
 
     kinds = dict(docs.dtypes)
@@ -179,22 +191,22 @@ def predict(docs: DataFrame, model: list[tuple[str, bytes]], block: int = 1024,
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "n_phrases")
 
 
-def identify(docs: DataFrame, *, folds: int = 4, held_out: int = 2, block: int = 1024, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def identify(docs: DataFrame, *, folds: int = 4, held_out: int = 2, block: int = 1024, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_phrases for every row of docs.
 
     Learns from text and non-null lang of rows whose crc32(doc_id as text) mod
     folds isn't held_out: a bounded sample of up to sample_rows texts a language
-    (those of smallest hash), cut to the same number of bytes, sample_bytes at
-    most, for every language. Predictions read whole texts only.
+    (those of smallest hash), sample_bytes of each language at most and
+    total_bytes together. Predictions read whole texts only.
 
     lang_pred is `und` (score 0) if text is null or has no letter, or if nothing
     could be learned; a null doc_id is never held out. score is
-    second / (best + second) of the phrase counts, 0.5 for a tie, which the
+    second / (best + second) of the bits, 0.5 for a tie, which the
     alphabetically first language wins. Repeated rows each get their row; other
     columns are ignored; an empty table gives no rows.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out, F.lit(False))
-    model = train(sample(docs.where(~out).select("lang", "text"), sample_rows), sample_bytes)
+    model = train(sample(docs.where(~out).select("lang", "text"), sample_rows), sample_bytes, total_bytes)
     found = predict(docs.select("doc_id", "text"), model, block)
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "n_phrases")
 
