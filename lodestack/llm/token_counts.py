@@ -10,11 +10,13 @@ tree's sums along the way up follow. Unchanged pre-tokens are never read again.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from bisect import bisect_right
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,7 +189,7 @@ MASKS = [
 
 def mask_edits(text: str, masks=MASKS) -> list[tuple[int, int, str]]:
     """Edits (start, end, new) that mask each match, from the end of the text to its start."""
-    if not _DIGIT.search(text) and "@" not in text:
+    if masks is MASKS and not _NEEDED.search(text):
         return []
     found = sorted((m.start(), m.end(), new) for pattern, new in masks for m in re.finditer(pattern, text))
     out, at = [], 0
@@ -198,7 +200,7 @@ def mask_edits(text: str, masks=MASKS) -> list[tuple[int, int, str]]:
     return out[::-1]
 
 
-_DIGIT = re.compile(r"\d|[0-9a-f]{18}")
+_NEEDED = re.compile(r"[\d@]|AKIA|[0-9a-f]{18}")  # no mask matches a text without one of these
 
 
 def count(docs: DataFrame, *, edits: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -209,14 +211,17 @@ def count(docs: DataFrame, *, edits: str | None = None, vocabulary: str = VOCABU
     characters; those beyond the text are clipped; null is no edit). Without it,
     the edits are those of a scrubbing pass (MASKS). n_tokens counts the text,
     n_tokens_edited the edited text; n_recounted tells how many pre-tokens the
-    edits re-encoded. vocabulary is a path that every executor can read. Null
+    edits re-encoded. vocabulary is a path that the driver can read; executors are
+    sent the file. Null
     text counts as empty; repeated rows each get their row; other columns are
     ignored; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)["doc_id"]
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches):
-        counter = Counter(vocabulary)
+        counter = Counter(SparkFiles.get(name))
         for b in small_batches(batches):
             cols: list[list] = [[] for _ in range(5)]
             given = b.column(2).to_pylist() if edits else [None] * b.num_rows
