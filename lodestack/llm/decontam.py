@@ -6,6 +6,9 @@ numbers or names has the same template. Windows of `window` tokens are joined by
 hash with those of the benchmark; aligned matches are verified token by token,
 and the values in equal slots must map one to one.
 
+Items too short for that (fewer than `least` words besides placeholders, or no
+window of which half is words) are contained by texts that equal them word for word.
+
 A benchmark is joined in blocks of BLOCK_CHARS characters of items, each small
 enough to hand to every task; documents are read once a block.
 """
@@ -106,14 +109,17 @@ class Benchmark:
         self.window = window
         cache = Tokens()
         self.items, h, where = [], [], []
+        self.whole: dict[bytes, list] = {}  # short items by their words
         for key, text in items:
             words = _split(text.encode())
             tokens, kinds, at = canonical(words, cache)
-            if (kinds == WORD).sum() < least:
-                continue
             n = min(window, len(tokens))
             w = windows(tokens, n)
-            solid = np.convolve(kinds == WORD, np.ones(n, int), "valid") * 2 >= n  # half of a window is words
+            solid = np.convolve(kinds == WORD, np.ones(n, int), "valid") * 2 >= n if n else np.zeros(0, bool)  # half of a window is words
+            if (kinds == WORD).sum() < least or not solid.any():
+                if len(tokens):
+                    self.whole.setdefault(_named(words), []).append((key, len(tokens)))
+                continue
             where += [(len(self.items), int(i), n) for i in np.flatnonzero(solid)]
             h.append(w[solid])
             self.items.append((key, tokens, kinds, slots(words, kinds, at)))
@@ -177,7 +183,16 @@ def matches(texts: list[bytes], bench: Benchmark, cache: Tokens, share: float) -
         found = (t, key, n, n / len(tokens), consistent(pairs), sum(a != b for _, a, b in pairs), lo - int(first[t]))
         if (t, item) not in best or (found[4], n, -found[6]) > (best[t, item][4], best[t, item][2], -best[t, item][6]):
             best[t, item] = found
-    return list(best.values())
+    out = list(best.values())
+    if bench.whole:
+        for t, s in enumerate(split):
+            out += [(t, key, n, 1.0, True, 0, 0) for key, n in bench.whole.get(_named(s), ())] if s else []
+    return out
+
+
+def _named(words: list[bytes]) -> bytes:
+    """Names a text by its words, whatever their case and the sentence ends between them."""
+    return xxhash.xxh3_128_digest(b" ".join(words).decode().lower().encode().replace(b" . ", b" ").strip(b" ."))
 
 
 def _value(words: list[bytes], at: np.ndarray, i: int) -> bytes:
@@ -217,8 +232,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, share: float
 
     An item is contained where at least `share` of its tokens, and a whole window
     of them, stand aligned in the text with slot values that map one to one.
-    Items with fewer than `least` words besides placeholders are left out, as are
-    null items; null and empty texts contain nothing. Items and rows that repeat
+    Shorter items (see above) are contained by texts of the same words, whatever
+    their case. Null items and items without a word are left out; null and empty texts contain nothing. Items and rows that repeat
     each give their rows (an item with a repeated item_id and text once); extra
     columns are ignored; empty tables give no rows.
     """
