@@ -134,3 +134,35 @@ def word_scores(rows: list[tuple]) -> list[tuple]:
     train = Counter(x for (i, _), ts in zip(rows, tokens) if not held_out(i, 7, 2) for x in ts)
     n, v = sum(train.values()), len(train)
     return [(held_out(i, 7, 2), len(ts), sum(train[x] > 0 for x in ts), n, sum(math.log10((train[x] + 1) / (n + v + 1)) for x in ts)) for (i, _), ts in zip(rows, tokens)]
+
+
+UNITS = {"km", "miles", "m"}
+
+
+def template(text: str) -> list[tuple[str, str]]:
+    """(token, value): words as they are, placeholders for numbers, names inside sentences, and units after numbers."""
+    out: list[tuple[str, str]] = []
+    for sentence in re.split(r"[.!?\n](?!\d)", re.sub(r"(?<=\d)[.,](?=\d)", "", text)):
+        before = None
+        for k, w in enumerate(re.findall(r"[A-Za-z0-9]+", sentence)):
+            kind = "<n>" if w.isdigit() else "<u>" if w.lower() in UNITS and before == "<n>" else "<p>" if k and len(w) > 1 and w[0].isupper() and w[1:].islower() else w.lower()
+            if kind == before and kind in ("<n>", "<p>"):
+                out[-1] = (kind, f"{out[-1][1]} {w}")
+            else:
+                out.append((kind, w))
+            before = kind
+    return out
+
+
+def contaminated(text: str, item: str, window: int = 8, share: float = 0.5) -> bool:
+    """Whether half of the item stands aligned in the text, a window of it in one piece, with slots that map one to one."""
+    a, b = template(text), template(item)
+    for start in range(-len(b) + 1, len(a)):
+        pairs = [(x, y) if 0 <= start + i < len(a) and (x := a[start + i])[0] == y[0] else None for i, y in enumerate(b)]
+        if not any(all(pairs[i : i + window]) and sum(p[1][0][0] != "<" for p in pairs[i : i + window]) * 2 >= window for i in range(len(b) - window + 1)):
+            continue
+        slots = {(y[0], y[1], x[1]) for p in pairs if p for x, y in [p] if y[0][0] == "<"}
+        once = len({(k, v) for k, v, _ in slots}) == len({(k, w) for k, _, w in slots}) == len(slots)
+        if sum(map(bool, pairs)) >= share * len(b) and once:
+            return True
+    return False
