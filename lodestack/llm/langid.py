@@ -15,7 +15,6 @@ laid out in blocks of `block` bytes, and a phrase ends with its block.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +74,6 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
     return to
 
 
-@lru_cache(maxsize=256)  # a worker builds each language's table once
 def parse_table(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Class of each byte, and table[state * classes + class] = next state * 2 + 1 if a phrase begins.
 
