@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 LINES = 500
 
@@ -79,8 +80,14 @@ def content_groups(files: DataFrame, identity: list[str], key: str, size: str) -
 
 
 def hash_candidates(files: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """Files that share (extension, size, ...) with another one: only these need a full hash."""
-    return files.withColumn("n_same", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("n_same > 1").select(key, *keys, "n_same")
+    """Files that share (extension, size, ...) with another one: only these need a full hash.
+
+    Counts are partial sums and then joined, so files of one common key (empty
+    ones) are spread over tasks. Keys that are null count as equal.
+    """
+    same = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_same")).where("n_same > 1")
+    both = files.alias("f").join(same.alias("s"), reduce(lambda a, b: a & b, (F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys)))
+    return both.select(f"f.{key}", *(f"f.{k}" for k in keys), "n_same")
 
 
 def duplicate_indexes(blocks: DataFrame, key: str = "file_id") -> DataFrame:

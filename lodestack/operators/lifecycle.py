@@ -11,6 +11,7 @@ import json
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,8 +261,15 @@ class Store:
         pointers = self._path(f"{self.path}/active")
         if not self._fs.exists(pointers):
             return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(pointers)]
-        return max(names).split("-", 1)[1] if names else None
+        done = [s.getPath() for s in self._fs.listStatus(pointers) if s.getLen()]
+        return self._content(max(done, key=lambda p: p.getName())) if done else None
+
+    def _content(self, path) -> str:
+        stream = self._fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def read(self, table: str, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={version or self.active()}/{table}")
@@ -279,19 +287,33 @@ class Store:
     def publish(self, version: str, gates: dict[str, DataFrame] | None = None, golden: dict[str, str] | None = None) -> None:
         """Makes version active if every gate's table is empty and golden texts are found in its blocks.
 
-        The pointer is a new empty file whose name sorts last, so a reader sees
-        either the old version or the new one.
+        The pointer is a new file whose name is the next number and whose content
+        is the version; readers take the highest number that has content. A file
+        system creates a name once, so of two writers that started from one
+        state the second fails.
         """
+        n = self._next()
         shut = [name for name, df in (gates or {}).items() if df.limit(1).count()]
         for name, text in (golden or {}).items():
             if not self.read("blocks", version).where(F.col("normalized_text").contains(text)).limit(1).count():
                 shut.append(f"golden_query {name}")
         if shut:
             raise GateError(", ".join(shut))
+        self._point(n, version)
+
+    def _next(self) -> int:
         folder = self._path(f"{self.path}/active")
-        n = len(self._fs.listStatus(folder)) if self._fs.exists(folder) else 0
-        if not self._fs.createNewFile(self._path(f"{self.path}/active/{n:012d}-{version}")):
-            raise GateError("another writer published first")
+        if not self._fs.exists(folder):
+            return 0
+        return max((int(x) + 1 for s in self._fs.listStatus(folder) if (x := s.getPath().getName()).isdigit()), default=0)
+
+    def _point(self, n: int, version: str) -> None:
+        try:
+            stream = self._fs.create(self._path(f"{self.path}/active/{n:012d}"), False)
+        except Py4JJavaError as e:
+            raise GateError("another writer published first") from e
+        stream.write(bytearray(version.encode()))
+        stream.close()
 
 
 def compare(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:

@@ -19,9 +19,9 @@ from ..query import Planned
 GRAM = 3
 
 
-def grams(text: Column) -> Column:
-    """Distinct substrings of three characters, by one pattern that looks ahead from every place."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?=({'.' * GRAM}))"), 1))
+def grams(text: Column, n: int = GRAM) -> Column:
+    """Distinct substrings of n characters, by one pattern that looks ahead from every place."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?=({'.' * n}))"), 1))
 
 
 def build(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,8 +46,12 @@ def lookup(postings: DataFrame, key: str, term: str, buckets: int | None = None)
 
 
 def candidates(p: Planned, postings: DataFrame, key: str) -> DataFrame:
-    """Ids that can match: terms combined by AND, or OR for mode any."""
-    found = [lookup(postings, key, t) for t in p.terms]
+    """Ids that can match: terms combined by AND, or OR for mode any; by the first term where that alone confirms.
+
+    The index holds lower-cased text, so terms of a case-sensitive query are lowered.
+    """
+    terms = p.terms if p.query.mode in ("all", "any") else p.terms[:1]
+    found = [lookup(postings, key, t.lower()) for t in terms]
     if p.query.mode == "any":
         return reduce(DataFrame.unionByName, found).distinct()
     return reduce(lambda a, b: a.join(b, key, "left_semi"), found)
@@ -58,12 +62,17 @@ def contained(needles: DataFrame, needle_key: str, needle: str, rows: DataFrame,
 
     An equi-join on the needle's rarest trigram finds candidates, `contains`
     confirms them; so there is no nested loop and one row per gram is enough to
-    shuffle on the needle's side. Needles shorter than a gram give no rows.
+    shuffle on the needle's side. Needles shorter than that are joined on their
+    whole length; empty ones are in every row that isn't null.
     """
+    n = F.length(needle)
+    short = [needles.where(n == k).select(needle_key, F.col(needle).alias("gram")).join(rows.select(key, F.explode(grams(F.col(text), k)).alias("gram")), "gram").select(needle_key, key) for k in range(1, GRAM)]
+    empty = needles.where(n == 0).select(needle_key, F.lit(1).alias("__one")).join(rows.where(F.col(text).isNotNull()).select(key, F.lit(1).alias("__one")), "__one").select(needle_key, key)
+    needles = needles.where(n >= GRAM)
     own = needles.select(needle_key, needle).withColumn("gram", F.explode(grams(F.col(needle))))
     # Only grams of needles are kept before anything is shuffled.
     postings = build(rows, key, text).join(own.select("gram").distinct(), "gram", "left_semi")
     df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = own.join(df, "gram", "left").groupBy(needle_key, needle).agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
     pairs = postings.join(rare, "gram").select(needle_key, needle, key)
-    return pairs.join(rows.select(key, text), key).where(F.col(text).contains(F.col(needle))).select(needle_key, key)
+    return pairs.join(rows.select(key, text), key).where(F.col(text).contains(F.col(needle))).select(needle_key, key).unionByName(reduce(DataFrame.unionByName, short, empty))

@@ -174,7 +174,7 @@ def search_with_context(spark, d):
 @query(f"select item_id, doc_id from benchmark b join documents d on contains({norm('d.text')}, {norm('b.text')})")
 def golden_batch(spark, d):
     """All benchmark passages against all documents, by the trigram index."""
-    needles = v.read(spark, d, "benchmark").select("item_id", tx.normalized("text").alias("needle")).where("length(needle) >= 3")
+    needles = v.read(spark, d, "benchmark").select("item_id", tx.normalized("text").alias("needle"))
     rows = v.read(spark, d, "documents").select("doc_id", tx.normalized("text").alias("n"))
     return postings.contained(needles, "item_id", "needle", rows, "doc_id", "n")
 
@@ -223,9 +223,11 @@ def context_snippet(spark, d):
     return rows.select("doc_id", tx.plain_context(F.col("text"), F.col("n"), ["than"]).alias("context"))
 
 
-@query("select doc_id, case when n_chars < 1024 then n_chars || ' B' else format('{:.1f} KB', n_chars / 1024.0) end as size from documents where n_chars < 1048576")
+@query("""with s as (select doc_id, n_chars * [1, 1000, 1000000][doc_id % 3 + 1] as n from documents)
+    select doc_id, case when n < 1024 then n || ' B' when n < 1048576 then format('{:.1f} KB', n / 1024.0) when n < 1073741824 then format('{:.1f} MB', n / 1048576.0) else format('{:.1f} GB', n / 1073741824.0) end as size from s""")
 def format_size(spark, d):
-    return v.read(spark, d, "documents").where("n_chars < 1048576").select("doc_id", tx.format_size(F.col("n_chars")).alias("size"))
+    times = F.element_at(F.array(F.lit(1), F.lit(1000), F.lit(1000000)), (F.col("doc_id") % 3 + 1).cast("int"))
+    return v.read(spark, d, "documents").select("doc_id", tx.format_size(F.col("n_chars") * times).alias("size"))
 
 
 # --- blocks and content ------------------------------------------------------
@@ -541,7 +543,7 @@ def event_dedup(spark, d):
 
 
 @query("""with s as (select user_id, epoch_us(ts) / 1e6 as a, epoch_us(ts) / 1e6 + value * 100 as b from events where event_type = 'view'), p as (select user_id, epoch_us(ts) / 1e6 as a, epoch_us(ts) / 1e6 + value as b from events where event_type = 'click')
-    select s.user_id, s.a as "start", s.b as "end", round(coalesce(sum(greatest(0, least(s.b, p.b) - greatest(s.a, p.a))), 0), 3) as paused_seconds from s left join p on p.user_id = s.user_id and p.a < s.b and p.b > s.a group by 1, 2, 3""")
+    select s.user_id, s.a as "start", s.b as "end", round(coalesce(sum(case when p.a is not null then greatest(0, least(s.b, p.b) - greatest(s.a, p.a)) end), 0), 3) as paused_seconds from s left join p on p.user_id = s.user_id and p.a < s.b and p.b > s.a group by 1, 2, 3""")
 def pause_overlap(spark, d):
     at = v.seconds().alias("start")
     rows = v.read(spark, d, "events")
@@ -664,10 +666,13 @@ def region_tree(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_state  # noqa: F401  it adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import postings
 from ..query import Planned, SearchQuery, plan
 
 
@@ -43,6 +44,12 @@ def of_files(blocks: DataFrame, files: DataFrame, how: str = "inner") -> DataFra
     return shared.unionByName(single)
 
 
+def stored_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks with the normal form that searches and the index read, characters composed (NFKC): to be written once."""
+    own = tx.compose(blocks.withColumn("normalized_text", F.coalesce("raw_text", F.lit(""))), "normalized_text")
+    return own.withColumn("normalized_text", tx.normalized("normalized_text"))
+
+
 def attribute_filter(query: SearchQuery) -> Column:
     tests = [F.lit(True)]
     if query.root_ids:
@@ -81,25 +88,30 @@ def _stripped(p: Planned, raw: Column) -> Column:
     return F.regexp_replace(x, tx.HYPHENS, "") if p.query.ignore_hyphens else x
 
 
-def _hits(p: Planned) -> Column:
-    """Occurrences in raw_text: of the pattern, or of all terms in its normal form."""
+def _hits(p: Planned, stored: Column | None = None) -> Column:
+    """Occurrences in raw_text: of the pattern, or of all terms in its normal form (stored for blocks, if it is the plain one)."""
     if p.pattern:
         return F.regexp_count(F.coalesce("raw_text", F.lit("")), F.lit(p.pattern)).cast("long")
-    return tx.hits(tx.normalized("raw_text", **p.query.flags), p.terms)
+    return tx.hits(stored if stored is not None else tx.normalized("raw_text", **p.query.flags), p.terms)
 
 
-def _content(p: Planned, blocks: DataFrame, files: DataFrame) -> DataFrame:
+def _content(p: Planned, blocks: DataFrame, files: DataFrame, index: DataFrame | None) -> DataFrame:
+    """Confirmed blocks. With an index (trigrams of the stored normal form), only its candidates are read, where the query's strategy allows it."""
     rows = blocks.where(source_filter(p.query))
+    if index is not None and p.strategy == "postings":
+        rows = rows.join(postings.candidates(p, index, "block_id"), "block_id", "left_semi")
+    hits = _hits(p)
     if p.pattern:
         rows = rows.where(_stripped(p, F.coalesce("raw_text", F.lit(""))).rlike(p.pattern))
     else:
         stored = F.col("raw_text") if p.query.case_sensitive and not p.query.compat else F.col("normalized_text")
         plain = not (p.query.case_sensitive or p.query.ignore_spaces or p.query.ignore_hyphens)
         rows = rows.where(confirmed(p, stored if plain else tx.normalized(stored, **p.query.flags)))
+        hits = _hits(p, stored) if plain else hits
     names = ["path", "filename", "extension", "size_bytes", "modified_time", "parse_status"]
     keep = files.select("file_id", "document_id", *names)
     # Hits are counted before the join, so no text is shuffled.
-    rows = rows.select("block_id", "file_id", "document_id", "location_text", _hits(p).alias("__hits"), F.coalesce("source_type", F.lit("native_text")).alias("source_type"), "ocr_confidence")
+    rows = rows.select("block_id", "file_id", "document_id", "location_text", hits.alias("__hits"), F.coalesce("source_type", F.lit("native_text")).alias("source_type"), "ocr_confidence")
     return of_files(rows, keep).withColumn("file_id", F.col("__file")).drop("__file", "__document", "document_id")
 
 
@@ -117,13 +129,13 @@ def _metadata(p: Planned, files: DataFrame) -> DataFrame:
     return rows.select(null("long").alias("block_id"), "file_id", F.lit("").alias("location_text"), _hits(p).alias("__hits"), F.lit("metadata").alias("source_type"), null("double").alias("ocr_confidence"), "path", "filename", "extension", "size_bytes", "modified_time", "parse_status")
 
 
-def candidates(p: Planned, blocks: DataFrame, files: DataFrame) -> DataFrame:
+def candidates(p: Planned, blocks: DataFrame, files: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Confirmed rows, one for each block and file and one for each file's name or path."""
     files = files.where(attribute_filter(p.query))
     if "document_id" not in files.columns:
         files = files.withColumn("document_id", F.lit(None).cast("long"))
     found = [_metadata(p, files)] if p.filename or p.path else []
-    found += [_content(p, blocks, files)] if p.content else []
+    found += [_content(p, blocks, files, index)] if p.content else []
     return reduce(DataFrame.unionByName, found)
 
 
@@ -207,10 +219,14 @@ class SearchPage:
 
 
 class SearchEngine:
-    """Searches a set of tables: files, blocks, and optionally exclusions and a readiness row."""
+    """Searches a set of tables: files, blocks, and optionally exclusions, a readiness row, and the blocks' trigram index.
+
+    With an index, queries whose terms all have three characters or more read the
+    postings of these and then the candidates; all others scan.
+    """
 
-    def __init__(self, files: DataFrame, blocks: DataFrame, exclusions: DataFrame | None = None, readiness: DataFrame | None = None):
-        self.files, self.blocks, self.exclusions, self.readiness = files, blocks, exclusions, readiness
+    def __init__(self, files: DataFrame, blocks: DataFrame, exclusions: DataFrame | None = None, readiness: DataFrame | None = None, index: DataFrame | None = None):
+        self.files, self.blocks, self.exclusions, self.readiness, self.index = files, blocks, exclusions, readiness, index
 
     def require_ready(self) -> None:
         if self.readiness is not None:
@@ -225,7 +241,7 @@ class SearchEngine:
         if not p.terms:
             p = plan(SearchQuery("x"))
             return grouped(scored(p, candidates(p, self.blocks, files))).limit(0)
-        return grouped(scored(p, candidates(p, self.blocks, files)))
+        return grouped(scored(p, candidates(p, self.blocks, files, self.index)))
 
     def search(self, query: SearchQuery, with_context: bool = True) -> SearchPage:
         """The wanted page. Raises ValueError for a bad pattern, IndexNotReadyError if a gate is shut."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import lifecycle, postings
+from .search import stored_blocks
 
 
 #: Text tables up to this size are dealt out anew: a file of one row group is one task's.
@@ -33,6 +37,27 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def indexed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """documents as stored blocks, and their stored trigram index: published once a session, then read.
+
+    They go to the shared folder of spark.checkpoint.dir, else to the warehouse, until the session ends.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/index-{uuid.uuid4().hex}"
+        store = lifecycle.Store(spark, path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        blocks = stored_blocks(document_blocks(spark, sf_dir))
+        index = postings.build(blocks, "block_id", "normalized_text").repartitionByRange("gram").sortWithinPartitions("gram", "block_id")
+        store.publish(store.stage({"blocks": blocks, "postings": index}))
+        _INDEXES[key] = store.read("blocks"), store.read("postings")
+    return _INDEXES[key]
+
+
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as blocks: one native text block per document."""
     return read(spark, sf_dir, "documents").select(

@@ -7,6 +7,7 @@ rules and add watermarks or timers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -148,11 +149,27 @@ def eta_errors(points: DataFrame, key: str) -> DataFrame:
 
 
 def overlap_seconds(spans: DataFrame, pauses: DataFrame, key: str) -> DataFrame:
-    """Seconds of each span (key, start, end) that pauses (key, start, end) cover; pauses don't overlap."""
-    p = pauses.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    x = spans.join(p, (spans[key] == F.col("__k")) & (F.col("__s") < F.col("end")) & (F.col("__e") > F.col("start")), "left")
-    part = F.greatest(F.lit(0.0), F.least("end", "__e") - F.greatest("start", "__s"))
-    return x.groupBy(key, "start", "end").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("paused_seconds"))
+    """Seconds of each span (key, start, end) that pauses (key, start, end) cover; where pauses overlap, each counts.
+
+    One ordered pass over a key's boundaries, in whole microseconds: the time
+    paused before t is the ends so far less the starts so far, and t for each
+    pause that still runs. A span takes what came between its two ends.
+    """
+    us = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    zero = F.lit(0).cast("long")
+    s, e = us("start"), us("end")
+    rows = spans.select(F.col(key), "start", "end").distinct()
+    kept = pauses.where("start < end")
+    edges = [
+        kept.select(key, s.alias("__t"), (-s).alias("__sum"), F.lit(1).cast("long").alias("__n"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), zero.alias("__sign")),
+        kept.select(key, e.alias("__t"), e.alias("__sum"), F.lit(-1).cast("long").alias("__n"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), zero.alias("__sign")),
+        rows.select(key, s.alias("__t"), zero.alias("__sum"), zero.alias("__n"), F.col("start").cast("double"), F.col("end").cast("double"), (zero - 1).alias("__sign")),
+        rows.select(key, e.alias("__t"), zero.alias("__sum"), zero.alias("__n"), F.col("start").cast("double"), F.col("end").cast("double"), (zero + 1).alias("__sign")),
+    ]
+    w = Window.partitionBy(key).orderBy("__t")
+    paused = F.sum("__sum").over(w) + F.sum("__n").over(w) * F.col("__t")
+    at = reduce(DataFrame.unionByName, edges).withColumn("__paused", paused * F.col("__sign")).where("__sign <> 0")
+    return at.groupBy(key, "start", "end").agg((F.greatest(F.lit(0), F.sum("__paused")) / 1e6).alias("paused_seconds"))
 
 
 def safely_paused(states: DataFrame) -> DataFrame:

@@ -143,6 +143,21 @@ def test_publishing(spark, files, tmp_path):
     assert store.read("files").count() == 1
 
 
+def test_one_of_two_publishers_wins(spark, files, tmp_path, monkeypatch):
+    a, b = (lifecycle.Store(spark, str(tmp_path / "race")) for _ in range(2))
+    v1, v2 = (x.stage({"files": files}) for x in (a, b))
+    seen = b._next()
+    a.publish(v1)
+    monkeypatch.setattr(b, "_next", lambda: seen)  # read before a published
+    with pytest.raises(lifecycle.GateError, match="another writer"):
+        b.publish(v2)
+    assert a.active() == b.active() == v1
+    monkeypatch.undo()
+    b.publish(v2)
+    assert a.active() == v2
+
+
+
 def test_integrity_and_compare(spark, files):
     docs = spark.createDataFrame([(7,), (8,)], "document_id long")
     b = spark.createDataFrame([(1, 1, None, 0, "x"), (2, 99, None, 0, "x"), (3, None, 7, 0, "x"), (4, None, 7, 0, None)], "block_id long, file_id long, document_id long, block_index int, normalized_text string")
