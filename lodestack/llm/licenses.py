@@ -1,10 +1,11 @@
 """Licence scan over a positional index of rare licence words.
 
 Template words are indexed by position. Document frequencies over the whole
-corpus choose each template's anchors: its highest-IDF words, and the rarest
-word of each of its mandatory phrases. A file's anchor words vote for
-(template, offset); an offset stands if the template's mandatory phrases occur
-there word by word, and its score is the matched share of the template's IDF.
+corpus choose each template's anchors: the highest-IDF words of each of its
+mandatory phrases. A file looks its anchor words up, rarest first; each of their
+places names an offset of the template, and only offsets that all anchors of a
+template name stay. There the mandatory phrases are verified word by word, and
+the score is the matched share of the template's IDF.
 """
 
 from __future__ import annotations
@@ -28,13 +29,19 @@ BASE = {
 # Label, words of a licence notice, phrases that must stand in it.
 TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge to any person"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ["permission is hereby granted free of charge to any person", "associated documentation files"]),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ["permission is hereby granted free of charge to any person or organization"]),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
     ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     ("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license as published by the free software foundation", "version 3 of the license"]),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["you may not use this file except in compliance with the license", "apache org licenses license 2 0"]),
+    ("agpl", "under the terms of the gnu affero general public license", ["gnu affero general public license"]),
     ("lgpl", "under the terms of the gnu lesser general public license", ["gnu lesser general public license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["nor the names of its contributors may be used to endorse or promote products derived from this software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable for any damages arising from the use of this software"]),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", ["eclipse public license 2 0"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
@@ -92,38 +99,48 @@ def frequencies(docs: DataFrame, templates=TEMPLATES) -> tuple[int, dict[bytes,
     return sum(r["n"] for r in rows if r["word"] is None), {r["word"].encode(): r["n"] for r in rows if r["word"] is not None}
 
 
-def index(n: int, df: dict[bytes, int], templates=TEMPLATES, anchors: int = 4):
-    """Postings of anchor words, weights of all template words, and the templates."""
+def index(n: int, df: dict[bytes, int], templates=TEMPLATES, anchors: int = 2):
+    """Each template's anchors (word, place), rarest first; weights of all template words; and the templates.
+
+    anchors: how many different words of each phrase, those of the highest IDF.
+    """
     parsed = _templates(templates)
     idf = {w: log((n + 1) / (df.get(w, 0) + 1)) + 1e-9 for _, words, _ in parsed for w in words}
-    postings: dict[bytes, list[tuple[int, int]]] = {}
-    for t, (_, words, phrases) in enumerate(parsed):
-        rare = set(sorted(set(words), key=lambda w: (-idf[w], w))[:anchors])
-        rare |= {min(p, key=lambda w: (-idf[w], w)) for _, p in phrases}
-        for at, w in enumerate(words):
-            if w in rare:
-                postings.setdefault(w, []).append((t, at))
-    return postings, idf, parsed
+    rank = lambda w: (-idf[w], w)
+    made = []
+    for _, _, phrases in parsed:
+        chosen = {(w, at + p.index(w)) for at, p in phrases for w in sorted(set(p), key=rank)[:anchors]}
+        made.append(sorted(chosen, key=lambda x: (rank(x[0]), x[1])))
+    return made, idf, parsed
 
 
 def match(words: list[bytes], made) -> dict[str, tuple[float, int]]:
     """Best score and its offset of each label that is found."""
-    postings, idf, templates = made
+    anchors, idf, templates = made
     found: dict[str, tuple[float, int]] = {}
-    if postings.keys().isdisjoint(words):
-        return found
-    votes = {(t, i - at) for i, w in enumerate(words) if w in postings for t, at in postings[w]}
-    for t, start in votes:
-        label, template, phrases = templates[t]
-        if all(start + at >= 0 and words[start + at : start + at + len(p)] == p for at, p in phrases):
-            same = sum(idf[w] for k, w in enumerate(template) if 0 <= start + k < len(words) and words[start + k] == w)
-            score = min(1.0, same / sum(idf[w] for w in template))
-            if label not in found or (score, -start) > (found[label][0], -found[label][1]):
-                found[label] = (score, start)
+    there = idf.keys() & set(words)
+    postings: dict[bytes, list[int]] = {}
+    for (label, template, phrases), own in zip(templates, anchors):
+        if not all(w in there for w, _ in own):
+            continue
+        starts = None
+        for w, at in own:
+            if w not in postings:
+                postings[w] = [i for i, x in enumerate(words) if x == w]
+            here = {i - at for i in postings[w]}
+            starts = here if starts is None else starts & here
+            if not starts:
+                break
+        for start in starts or ():
+            if all(start + at >= 0 and words[start + at : start + at + len(p)] == p for at, p in phrases):
+                same = sum(idf[w] for k, w in enumerate(template) if 0 <= start + k < len(words) and words[start + k] == w)
+                score = min(1.0, same / sum(idf[w] for w in template))
+                if label not in found or (score, -start) > (found[label][0], -found[label][1]):
+                    found[label] = (score, start)
     return found
 
 
-def scan(docs: DataFrame, *, base: dict[str, str] = BASE, templates=TEMPLATES, anchors: int = 4) -> DataFrame:
+def scan(docs: DataFrame, *, base: dict[str, str] = BASE, templates=TEMPLATES, anchors: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches for every row.
 
     Words are runs of ASCII letters and digits and of all characters beyond

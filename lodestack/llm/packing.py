@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut_table
+
 FINE = 4096  # lengths up to here have a bin each
 SHARD = 4096  # documents that one task orders into batches, about
 
@@ -64,17 +66,18 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, bu
     length: tokens of a row, by default its words between ASCII white space; null
     text has none. A batch is named by (bucket_length, shard, batch): it holds up
     to max(1, budget // bucket_length) rows, so bucket_length times its rows stays
-    within the budget unless a single row exceeds it. Shards split a bucket by
-    doc_id into parts of about SHARD rows, so that no task orders a whole bucket;
-    only the last batch of a shard may be short. Rows of equal doc_id stay in one
-    shard side by side; a null doc_id counts as 0. Rows without tokens go to
+    within the budget unless a single row exceeds it. Shards split a bucket by a
+    hash of doc_id and length into parts of about SHARD rows, so that no task
+    orders a whole bucket; only the last batch of a shard may be short. Rows of
+    equal doc_id and length stay in one shard side by side; rows without a doc_id
+    are dealt out by their length. Rows without tokens go to
     bucket 0 unbatched (batch null). Nothing is cut or dropped; extra columns are
     ignored; an empty table gives no rows.
     """
     if length is None:
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         length = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = docs.select("doc_id", length.cast("long").alias("n_tokens"))
+    rows = cut_table(docs.select("doc_id", length.cast("long").alias("n_tokens")))  # texts are read once
     filled = rows.where("n_tokens > 0")
     bins = filled.groupBy(_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("length"), F.count(F.lit(1)).alias("n")).orderBy("length").collect()
     lengths, counts = np.array([r["length"] for r in bins], np.int64), np.array([r["n"] for r in bins], np.int64)
@@ -85,7 +88,8 @@ def pack(docs: DataFrame, *, length: Column | None = None, buckets: int = 16, bu
     shards = [max(1, round(int(n) / SHARD)) for n in per]
     of = lambda values: F.coalesce(*(F.when(F.col("n_tokens") <= b, F.lit(v)) for b, v in zip(bounds, values)))
     empty = F.col("n_tokens") == 0
-    rows = rows.select("doc_id", "n_tokens", F.when(empty, 0).otherwise(of(bounds)).cast("long").alias("bucket_length"), F.when(empty, 0).otherwise(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), of(shards))).cast("long").alias("shard"))
+    named = F.conv(F.substring(F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_tokens").cast("string"))), 1, 8), 16, 10).cast("long")
+    rows = rows.select("doc_id", "n_tokens", F.when(empty, 0).otherwise(of(bounds)).cast("long").alias("bucket_length"), F.when(empty, 0).otherwise(F.pmod(named, of(shards))).cast("long").alias("shard"))
     full = rows.where("n_tokens > 0")
     order = Window.partitionBy("bucket_length", "shard").orderBy("doc_id", "n_tokens")
     batch = F.floor((F.row_number().over(order) - 1) / F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_length"))))

@@ -19,9 +19,10 @@ def packing(buckets: int = 16, budget: int = 65_536, fine: int = 4096, shard: in
     t(k, j) as (select k, m from p union all select t.k - 1, p.back[t.k - 1][t.j] from t, p where t.k > 1),
     o as (select cast(p.ls[t.j] as bigint) as bound from t, p),
     x as (select w.doc_id, w.n, (select min(bound) from o where bound >= w.n) as bound from w where n > 0),
-    z as (select bound, cast(greatest(1, round(count(*) / {shard}.0)) as bigint) as shards from x group by bound)
-    select doc_id, n as n_tokens, bound as bucket_length, cast(doc_id % shards as bigint) as shard,
-        cast((row_number() over (partition by bound, doc_id % shards order by doc_id, n) - 1) // greatest(1, {budget} // bound) as bigint) as batch, bound - n as n_padding from x join z using (bound)
+    z as (select bound, cast(greatest(1, round(count(*) / {shard}.0)) as bigint) as shards from x group by bound),
+    y as (select doc_id, n, bound, cast(('0x' || substr(md5(concat_ws(' ', doc_id, n)), 1, 8)) as bigint) % shards as shard from x join z using (bound))
+    select doc_id, n as n_tokens, bound as bucket_length, shard,
+        cast((row_number() over (partition by bound, shard order by doc_id, n) - 1) // greatest(1, {budget} // bound) as bigint) as batch, bound - n as n_padding from y
     union all select doc_id, n, 0, 0, null, 0 from w where n = 0"""
 
 

@@ -137,6 +137,43 @@ LICENSED = [
 ]
 
 
+def licenses_found(rows):
+    """Labels and score of each row, trying every template at every place."""
+    words = {i: [x.decode() for x in licenses.words_of((t or "").encode())] for i, t in rows}
+    n = len(rows)
+    idf = lambda w: np.log((n + 1) / (sum(w in set(ws) for ws in words.values()) + 1)) + 1e-9
+    out = {}
+    for i, ws in words.items():
+        labels = {label for p, label in licenses.BASE.items() if f" {p} " in f" {' '.join(ws)} "}
+        best = 0.0
+        for label, text, phrases in licenses.TEMPLATES:
+            t = text.split()
+            inside = [(f" {text} "[: f" {text} ".index(f" {p} ") + 1].count(" ") - 1, p.split()) for p in phrases]
+            for start in range(-len(t), len(ws)):
+                if all(start + at >= 0 and ws[start + at : start + at + len(p)] == p for at, p in inside):
+                    labels.add(label)
+                    best = max(best, sum(idf(w) for k, w in enumerate(t) if 0 <= start + k < len(ws) and ws[start + k] == w) / sum(map(idf, t)))
+        out[i] = (",".join(sorted(labels)), pytest.approx(best))
+    return out
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = random.Random(16)
+    rows = []
+    for k in range(60):
+        _, text, phrases = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        t = text.split()
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = rng.choice(["the", "license", "x"])
+        cut = rng.randint(0, len(t) // 3)
+        extra = rng.choice([[], rng.choice(licenses.TEMPLATES)[1].split(), phrases[0].split() * 2])
+        rows.append((k, " ".join([*rng.choices(["of", "the", "license", "zz"], k=rng.randint(0, 9)), *t[cut:], *extra])))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = licenses_found(rows)
+    assert len({x for x, _ in want.values()}) > 12
+    assert got == want
+
+
 def test_license_scan(spark, docs, empty):
     names = "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"
     df = spark.createDataFrame(LICENSED, "doc_id long, text string")
