@@ -1,8 +1,9 @@
 """Parsers: (path, content) to content blocks, one row each, plus one status row on failure.
 
 All run inside `mapInPandas`; a file's error becomes a row with a code, never a
-failed task. Formats that need outside software (PDF text, OCR, legacy office
-conversion) take plug-in functions and report their absence.
+failed task. Formats that need outside software (OCR, legacy office conversion)
+take plug-in functions and report their absence; a plug-in may replace the PDF
+reader too.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
@@ -20,7 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+from ..operators import geometry
 from ..schemas import ARCHIVE_EXTENSIONS, IMAGE_EXTENSIONS, LEGACY_EXTENSIONS, PARSED, TEXT_EXTENSIONS, VIDEO_EXTENSIONS
+from . import pdf
 
 Block = dict
 Parser = Callable[[str, bytes], Iterator[Block]]
@@ -33,12 +38,15 @@ class ParseError(Exception):
 
 
 def detect_encoding(sample: bytes) -> str:
-    """Byte order mark, zero-byte pattern of UTF-16, strict UTF-8, GB18030, else UTF-8."""
+    """Byte order mark, XML's first signs or zero-byte pattern of UTF-16, strict UTF-8, GB18030, a detector's choice if one is installed, else UTF-8."""
     for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
         if sample.startswith(mark):
             return name
     head = sample[: len(sample) // 2 * 2]
-    if len(head) >= 4:
+    for name in ("utf-16-le", "utf-16-be"):
+        if head.startswith("<?xml"[:4].encode(name)):
+            return name
+    if len(head) >= 8:
         even, odd = (head[i::2].count(0) / (len(head) // 2) for i in (0, 1))
         if odd >= 0.45 and even <= 0.10:
             return "utf-16-le"
@@ -50,7 +58,12 @@ def detect_encoding(sample: bytes) -> str:
             return name
         except UnicodeDecodeError:
             continue
-    return "utf-8"
+    try:
+        from charset_normalizer import from_bytes
+    except ModuleNotFoundError:
+        return "utf-8"
+    best = from_bytes(sample).best()
+    return best.encoding if best and best.encoding and not best.encoding.startswith(("utf_16", "utf_32")) else "utf-8"
 
 
 def parse_text(path: str, data: bytes, lines: int = 500, kind: str = "text") -> Iterator[Block]:
@@ -207,6 +220,36 @@ def parse_html(path: str, data: bytes) -> Iterator[Block]:
     yield from parse_text(path, html_text(data.decode(detect_encoding(data[: 64 << 10]), "replace")).encode(), kind="html")
 
 
+def parse_pdf(path: str, data: bytes) -> Iterator[Block]:
+    """A block for each page with text; pages without are left to recognition."""
+    try:
+        for page in pdf.read(data):
+            if page["text"].strip():
+                yield {"block_type": "pdf_page", "location_text": f"第 {page['page']} 页", "page_number": page["page"], "block_index": page["page"] - 1, "raw_text": page["text"]}
+    except pdf.Encrypted as e:
+        raise ParseError("password_protected", "PASSWORD_PROTECTED", str(e)) from e
+    except pdf.PdfError as e:
+        raise ParseError("failed", "CORRUPT_FILE", str(e)) from e
+
+
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """path, page, width, height, images, text, identity and is_scanned of every page of PDF files (path, content)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for path, data in part.itertuples(index=False):
+                try:
+                    rows += [{"path": path, **page} for page in pdf.read(bytes(data))]
+                except (pdf.PdfError, zlib.error):  # parse() tells its status
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "page", "width", "height", "images", "text"])
+
+    pages = files.select("path", "content").mapInPandas(run, "path string, page int, width double, height double, images int, text string")
+    own = scalars.page_identity(*(F.col(c) for c in ("page", "width", "height", "images", "text")))
+    return pages.withColumns({"identity": own, "is_scanned": geometry.scanned_page(F.col("text"), F.col("images") > 0)})
+
+
 def safe_member(name: str) -> str | None:
     """A member's normal path; None for absolute paths, drives and ways upwards."""
     clean = name.replace("\\", "/")
@@ -291,10 +334,10 @@ class Registry:
     def parser_for(self, extension: str) -> Parser:
         if extension in TEXT_EXTENSIONS:
             return parse_text
-        known = {".docx": parse_docx, ".xlsx": parse_xlsx, ".xlsm": parse_xlsx, ".pptx": parse_pptx, ".html": parse_html, ".htm": parse_html, ".zip": self.parse_zip}
+        known = {".docx": parse_docx, ".xlsx": parse_xlsx, ".xlsm": parse_xlsx, ".pptx": parse_pptx, ".html": parse_html, ".htm": parse_html, ".zip": self.parse_zip, ".pdf": self.plugins.get("pdf", parse_pdf)}
         if extension in known:
             return known[extension]
-        for group, name, status in (([".pdf"], "pdf", "converter_missing"), (IMAGE_EXTENSIONS, "ocr", "ocr_disabled"), (LEGACY_EXTENSIONS, "legacy", "converter_missing")):
+        for group, name, status in ((IMAGE_EXTENSIONS, "ocr", "ocr_disabled"), (LEGACY_EXTENSIONS, "legacy", "converter_missing")):
             if extension in group:
                 return self.plugins.get(name) or _absent(status, f"{name.upper()}_CONVERTER_MISSING" if status == "converter_missing" else "OCR_DISABLED")
         return _absent("metadata_only", None) if extension in VIDEO_EXTENSIONS else _absent("unsupported", "UNSUPPORTED")
@@ -348,7 +391,7 @@ def parse(files: DataFrame, registry: Registry | None = None) -> DataFrame:
                 rows.append({"path": path, "source_type": "native_text", **b, "block_index": b["block_index"] if b.get("block_index") is not None else len(rows), "status": "success"})
         except ParseError as e:
             status, code, message = e.status, e.code, str(e)[:1000] or None
-        except (zipfile.BadZipFile, ET.ParseError) as e:
+        except (zipfile.BadZipFile, ET.ParseError, zlib.error) as e:
             status, code, message = "failed", "CORRUPT_FILE", str(e)[:1000]
         except MemoryError:
             status, code = "failed_retryable", "OUT_OF_MEMORY"
@@ -356,10 +399,19 @@ def parse(files: DataFrame, registry: Registry | None = None) -> DataFrame:
             status, code, message = "failed", "PARSE_ERROR", f"{type(e).__name__}: {e}"[:1000]
         return [*rows, {"path": path, "status": status, "error_code": code, "error_message": message}]
 
+    def framed(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names).astype(object)
+        return out.where(out.notna(), None)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            rows: list[dict] = []
             for path, ext, data in part.itertuples(index=False):
-                out = pd.DataFrame(one(path, ext, bytes(data)), columns=names).astype(object)
-                yield out.where(out.notna(), None)
+                rows += one(path, ext, bytes(data))
+                if len(rows) >= 2000:
+                    yield framed(rows)
+                    rows = []
+            if rows:
+                yield framed(rows)
 
     return files.select("path", "extension", "content").mapInPandas(run, PARSED)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def test_parsing_never_fails_a_task(spark):
     got = parsers.parse(df).collect()
     status = {r.path: (r.status, r.error_code) for r in got if r.block_index is None}
     assert status == {
-        "a.txt": ("success", None), "b.docx": ("failed", "CORRUPT_FILE"), "c.zip": ("partial_success", "ZIP_MEMBER_FAILED"), "d.pdf": ("converter_missing", "PDF_CONVERTER_MISSING"), "e.png": ("ocr_disabled", "OCR_DISABLED"),
+        "a.txt": ("success", None), "b.docx": ("failed", "CORRUPT_FILE"), "c.zip": ("partial_success", "ZIP_MEMBER_FAILED"), "d.pdf": ("failed", "CORRUPT_FILE"), "e.png": ("ocr_disabled", "OCR_DISABLED"),
         "f.doc": ("converter_missing", "LEGACY_CONVERTER_MISSING"), "g.mp4": ("metadata_only", None), "h.bin": ("unsupported", "UNSUPPORTED"), "i.xlsx": ("success", None),
     }
     assert [(r.block_index, r.raw_text, r.block_type) for r in got if r.path == "c.zip" and r.block_index is not None] == [(0, "inner text", "zip_text"), (1, "deep", "zip_text")]
@@ -127,3 +128,64 @@ def test_manifest_queries_settings(spark, tmp_path):
             files.query_list(bad)
     s = files.Settings.from_dict({"version": 0, "lines_per_block": 7, "unknown": 1})
     assert (s.version, s.lines_per_block, s.max_zip_depth) == (1, 7, 2)
+
+
+def stream(body: bytes, more: bytes = b"", packed: bool = True) -> bytes:
+    data = zlib.compress(body) if packed else body
+    return b"<< /Length %d %s %s >>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode" if packed else b"", more, data)
+
+
+CMAP = b"1 beginbfchar <0001> <4E2D> endbfchar 2 beginbfrange <0002> <0003> <6587> <0010> <0011> [<0041> <00DF>] endbfrange"
+FIRST = rb"BT /F1 12 Tf 72 700 Td (Hello \(PDF\)) Tj 40 0 Td (world) Tj 0 -14 Td [(Sec) -20 (ond) -300 (li\156e)] TJ T* <E9> Tj ET"
+SECOND = b"BT /F2 9 Tf 1 0 0 1 72 700 Tm <000100020003> Tj 1 0 0 1 72 650 Tm <001000110099> Tj ET q /I Do Q"
+OBJECTS = {
+    1: b"<< /Type /Catalog /Pages 2 0 R >>",
+    2: b"<< /Type /Pages /Kids [3 0 R 8 0 R] /Count 3 /MediaBox [0 0 612 792] /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>",
+    3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>",
+    5: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>",
+    6: b"<< /Type /Font /Subtype /Type0 /ToUnicode 7 0 R >>",
+    8: b"<< /Type /Pages /Parent 2 0 R /Kids [9 0 R 12 0 R] >>",
+    9: b"<< /Type /Page /Parent 8 0 R /Contents [10 0 R] /MediaBox [0 0 100 50.5] /Resources << /Font << /F2 6 0 R >> /XObject << /I 11 0 R >> >> >>",
+    12: b"<< /Type /Page /Parent 8 0 R >>",
+}
+STREAMS = {4: stream(FIRST), 7: stream(CMAP), 10: stream(SECOND, packed=False), 11: stream(b"xx", b"/Type /XObject /Subtype /Image", packed=False)}
+
+
+def classic(trailer: bytes = b"") -> bytes:
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % kv for kv in (OBJECTS | STREAMS).items()) + b"trailer << /Root 1 0 R %s >>\n%%%%EOF" % trailer
+
+
+def compressed() -> bytes:
+    heads, body = b"", b""
+    for k, x in OBJECTS.items():
+        heads += b"%d %d " % (k, len(body))
+        body += x + b" "
+    held = stream(heads + body, b"/Type /ObjStm /N %d /First %d" % (len(OBJECTS), len(heads)))
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % kv for kv in (STREAMS | {20: held, 21: stream(b"\0" * 6, b"/Type /XRef /Root 1 0 R /W [1 4 1]")}).items())
+
+
+@pytest.mark.parametrize("data", [classic(), compressed()])
+def test_pdf_pages(spark, data):
+    want = ["Hello (PDF) world\nSecond line\né", "中文斈\nAß�", ""]
+    df = spark.createDataFrame([("a.pdf", ".pdf", data), ("b.pdf", ".pdf", classic(b"/Encrypt 9 0 R")), ("c.pdf", ".pdf", b"%PDF-1.4 nothing")], "path string, extension string, content binary")
+    rows = parsers.parse(df).collect()
+    got = {r.block_index: (r.page_number, r.location_text, r.raw_text) for r in rows if r.path == "a.pdf" and r.block_index is not None}
+    assert got == {0: (1, "第 1 页", want[0]), 1: (2, "第 2 页", want[1])}
+    assert {r.path: (r.status, r.error_code) for r in rows if r.block_index is None} == {"a.pdf": ("success", None), "b.pdf": ("password_protected", "PASSWORD_PROTECTED"), "c.pdf": ("failed", "CORRUPT_FILE")}
+    pages = parsers.pdf_pages(df).where("path = 'a.pdf'").orderBy("page").collect()
+    assert [(p.width, p.height, p.images, p.is_scanned) for p in pages] == [(612.0, 792.0, 0, False), (100.0, 50.5, 1, True), (612.0, 792.0, 0, False)]
+    assert len({p.identity for p in pages}) == 3
+
+
+def test_broken_pdfs_are_rows(spark):
+    """No cut of a file fails the job."""
+    data = classic()
+    df = spark.createDataFrame([(f"{k}.pdf", ".pdf", data[:k]) for k in range(0, len(data), 37)], "path string, extension string, content binary")
+    assert parsers.parse(df).where("block_index is null").select("path").distinct().count() == df.count()
+    parsers.pdf_pages(df).count()
+
+
+def test_encodings_without_marks():
+    assert parsers.detect_encoding("<?xml version='1.0'?>".encode("utf-16-le")) == "utf-16-le"
+    assert parsers.detect_encoding("<?xml version='1.0'?>".encode("utf-16-be")) == "utf-16-be"
+    assert parsers.detect_encoding("a\0b".encode()) == "utf-8"
