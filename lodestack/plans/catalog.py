@@ -666,7 +666,7 @@ def region_tree(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_state  # noqa: F401  it adds its queries
+    from . import catalog_files, catalog_state  # noqa: F401  they add their queries
 
     return dict(_QUERIES)
 
