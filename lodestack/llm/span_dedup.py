@@ -191,20 +191,20 @@ def _hashed(docs: DataFrame, run: int, min_words: int, gaps: int) -> DataFrame:
     return docs.mapInArrow(go, f"h long, g int, doc_id {kind}, k long, f int, t int, more array<long>")
 
 
-def deduplicate(docs: DataFrame, *, run: int = 2, min_words: int = 24, gaps: int = 7) -> DataFrame:
-    """docs with repeated sentence runs cut out of text, and n_removed, the number
-    of sentences (pieces) cut.
+def deduplicate(docs: DataFrame, *, run: int = 2, min_words: int = 24, gaps: int = 7, count: str = "n_removed") -> DataFrame:
+    """docs with repeated sentence runs cut out of text, and the column `count`, the
+    number of sentences (pieces) cut.
 
     The first occurrence of a run is the one of the smallest doc_id, then of the
     smallest text hash and place; a null doc_id comes first. All others lose the
     sentences they cover, inside one text too. Rows equal in doc_id and text are
     one document: each loses the same. Null text stays null; texts with too few
-    sentences or words lose nothing; other columns stay as they are, and one of
-    the name n_removed is replaced. A word counts once, and in scripts without
+    sentences or words lose nothing; other columns stay as they are, but one of the
+    name `count` is replaced. A word counts once, and in scripts without
     white space between words, every two characters count as one more. An empty
     table gives no rows.
     """
-    docs = docs.drop("n_removed")
+    docs = docs.drop(count)
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Texts are told apart by a hash only where ids don't do that: a column less to shuffle.
@@ -226,7 +226,7 @@ def deduplicate(docs: DataFrame, *, run: int = 2, min_words: int = 24, gaps: int
     keyed = docs.withColumn(k, key)
     gone = gone.select(F.col("doc_id").alias(d), F.col("k").alias(f"{k}_"), F.col("gone").alias(runs_of))
     both = keyed.join(gone, keyed.doc_id.eqNullSafe(F.col(d)) & (F.col(k) == F.col(f"{k}_")), "left").select(*docs.columns, runs_of)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
     column = docs.columns.index("text")
 
     def cut(batches):

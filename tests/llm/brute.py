@@ -95,10 +95,13 @@ def repeated_sentences(rows: list[tuple], cut=sentences, run: int = 2, least: in
     first: dict = {}
     for content, r, i, _ in found:
         first.setdefault(content, (r, i))
-    gone: list[set[int]] = [set() for _ in rows]
+    longest: dict = {}
     for content, r, i, j in found:
-        if first[content] != (r, i) and not gone[r].issuperset(range(i, j)):
-            gone[r].update(range(i, j))
+        if first[content] != (r, i):
+            longest[r, i] = max(j, longest.get((r, i), 0))
+    gone: list[set[int]] = [set() for _ in rows]
+    for (r, i), j in longest.items():
+        gone[r].update(range(i, j))
     return gone
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestack.llm import span_dedup
 
@@ -42,8 +44,9 @@ def test_run_equals_plain_run(spark, docs, tmp_path):
 
 def test_stages_keep_columns(spark, docs, tmp_path):
     spark.createDataFrame([(1, "some benchmark text of seven words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    frame = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    frame = docs.select("doc_id", "text", "lang", "source", "n_chars", F.lit("x").alias("n_removed"), F.lit(1).alias("__cut"), F.lit(2).alias("is_first"), F.lit("y").alias("__k"), F.lit(0.5).alias("component_id"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, frame, str(tmp_path))
         assert got.dtypes == frame.dtypes, name
+        assert got.select("n_removed", "__cut", "is_first", "__k", "component_id").distinct().collect() == [("x", 1, 2, "y", 0.5)]
         assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0, name
