@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.llm import decontam, langid, packing, simhash, span_dedup
-from lodestack.llm.common import cut_table, read
+from lodestack.llm.common import cut_table, fresh, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a language: null, empty and any other texts without a letter.
+
+    The language found isn't a filter. Whole texts are parsed, however long; rows
+    that repeat are each kept or dropped; no labelled row means that all stay.
+    """
     model = langid.train(langid.sample(docs.select("lang", "text")))
     found = langid.predict(docs, model, keep=docs.columns)
     return found.where("lang_pred <> 'und'").select(docs.columns) if model else found.select(docs.columns)
@@ -37,20 +41,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated sentence runs; drops documents of which nothing but white space is left."""
-    found = span_dedup.deduplicate(docs)
-    cut = F.col("n_removed") > 0
+    """Cuts repeated sentence runs; drops documents of which nothing but white space is left.
+
+    Of equal runs the one of the smallest doc_id stays (nulls first, then by text
+    hash and place). Null texts stay; rows equal in doc_id and text lose the same.
+    n_chars of what was cut is counted anew. Whole texts count.
+    """
+    count = fresh(docs, "cut")[0]
+    found = span_dedup.deduplicate(docs, count=count)
+    cut = F.col(count) > 0
     found = found.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return found.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain an item of the benchmark."""
+    """Drops documents that contain an item of the benchmark (see decontam.find).
+
+    Null and empty texts contain none; repeated rows go together; texts of any
+    length are read whole; an empty benchmark drops nothing.
+    """
     return decontam.without(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts every document into a batch of its length bucket."""
+    """Puts every document into a batch of its length bucket.
+
+    Null texts and those without words go to bucket 0 unbatched; a text longer
+    than the budget has a batch of its own; repeated rows each get their place.
+    """
     return packing.pack(docs)
 
 
