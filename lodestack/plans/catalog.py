@@ -166,7 +166,9 @@ def search_paged(spark, d):
     return page(_engine(spark, d).results(q), q).select(*SHOWN)
 
 
-@query()
+@query(f"""with x as ({search_sql("contains(n, 'licensed')", ["licensed"])}), y as (select * from x order by score desc, modified_time desc, lower(filename), file_id limit 50),
+    w as (select y.*, text, instr(lower(text), 'licensed') - 1 as p from y join documents on doc_id = file_id), z as (select *, greatest(0, p - 100) as f, least(length(text), p + 8 + 180) as t from w)
+    select {", ".join(SHOWN)}, '正文' || chr(10) || case when f > 0 then '...' else '' end || replace(substr(text, f + 1, t - f), chr(10), ' ') || case when t < length(text) then '...' else '' end as context from z""")
 def search_with_context(spark, d):
     return _engine(spark, d).search(SearchQuery("licensed", page_size=50)).results.select(*SHOWN, "context")
 
@@ -531,10 +533,13 @@ def eta_rates(spark, d):
     return out.select("lane", "seq", F.round(F.col("recent") + 1e-9, 6).alias("recent"), F.round("total", 6).alias("total"))
 
 
-@query()
+@query("""with s as (select event_type as lane, event_id as seq, value / (user_id + 1e0) as rate, value, user_id + 1e0 as cost from events),
+    w as (select lane, seq, median(rate) over (partition by lane order by seq rows 20 preceding) as recent, list_reduce(list(rate) over (partition by lane order by seq rows 199 preceding), lambda a, x: a * 0.75e0 + x * 0.25e0) as ewma,
+        sum(value) over (partition by lane order by seq) / sum(cost) over (partition by lane order by seq) as total, least(0.8e0, count(*) over (partition by lane order by seq) / 8e0) as weight from s)
+    select lane, seq, round(0.08e0 * (1 - weight) + (recent * 0.45e0 + ewma * 0.35e0 + total * 0.2e0) * weight + 1e-9, 6) as rate from w""")
 def eta_rates_blended(spark, d):
     rows = v.read(spark, d, "events").select(F.col("event_type").alias("lane"), F.col("event_id").alias("seq"), (F.col("user_id") + 1.0).alias("completed_cost"), F.col("value").alias("service_seconds"))
-    return events.blended_rates(rows, F.lit(0.08)).select("lane", "seq", "rate")
+    return events.blended_rates(rows, F.lit(0.08)).select("lane", "seq", F.round(F.col("rate") + 1e-9, 6).alias("rate"))
 
 
 @query("select user_id, event_type, min(ts) as ts from events group by all")
