@@ -15,8 +15,12 @@ def components(edges: DataFrame) -> DataFrame:
     a label by its own label, so path lengths halve. Every round is a checkpoint;
     nothing but a count reaches the driver. Links from a node to itself and
     repeated links are harmless; no links give no rows.
+
+    Both directions of a link come from one evaluation: which of several equally
+    good links span a group may depend on the order of rows, and differ the next time.
     """
-    edges = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = cut(edges.where("a <> b").select(both.alias("x")).select("x.a", "x.b").distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))

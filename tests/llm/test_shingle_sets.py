@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestack.llm import shingle_sets, simhash
@@ -91,6 +92,19 @@ def test_links_grow_with_a_group_of_near_copies(spark, n, n_words, edits):
     assert shingle_sets.remaining_links(rows, once, nodes.select("s", "grams"), 0.8, "cosine", scratch).distinct().count() <= nodes.count()
 
 
+def test_components_of_links_that_differ_each_time(spark):
+    """A group's hub may be another one whenever its links are made again."""
+
+    def stars(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            hubs = {g: random.SystemRandom().choice([i for i in ids if i % 40 == g]) for g in range(40)}
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([hubs[i % 40] for i in ids])], names=["a", "b"])
+
+    links = spark.range(0, 400, 1, 1).mapInArrow(stars, "a long, b long")
+    assert {r.node: r.label for r in components(links).collect()} == {i: i % 40 for i in range(400)}
+
+
 def test_recall_and_precision_of_near_copies(spark):
     """Against all pairs: every linked group is one of exact similarity; hardly a pair is missed."""
     rng = random.Random(12)
