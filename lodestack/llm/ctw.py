@@ -6,21 +6,30 @@ Krichevsky-Trofimov estimate with the product of its children, so all depths are
 weighed by how well they coded the training text. With training over, the
 mixture weights are fixed and each (context, byte) gets one code length.
 
-The tree is counted over the whole training part. It has all contexts of up to
-two bytes, and those of 3 to DEPTH bytes that make up CONTEXT_SHARE of the
-training bytes or more; a node's other contexts share one child. A share bounds
-how many there can be, so whatever the corpus, the tree has at most 65,536
-contexts of two bytes and 1 / CONTEXT_SHARE of each greater length, and the table
-that scoring tasks get is bounded (64 MiB and 16 MiB a length). Each length takes
-one pass, as what one pass counts tells which longer contexts are frequent.
-
-Word counts for the base have no such bound: words that make up HEAD_SHARE of all
-tokens or more are looked up in the tasks, all others are joined.
+The tree is counted over the whole training part and has every context of up to
+DEPTH bytes that occurs there:
+
+1. One pass counts grams (DEPTH bytes of context and the byte after them), those
+   of rows that are only scored too, with no training count.
+2. Contexts that end with the same three bytes are one subtree, weighted whole in
+   one task. The driver mixes what they send up: contexts of up to two bytes, of
+   which there are 65,536 at most.
+3. The mixture's upper part goes back down the subtrees, which gives each gram its
+   log10 probability.
+4. Grams that make up GRAM_SHARE of all places or more (so 4,000,000 at most) are
+   looked up in the scoring tasks; the others' places are joined to their
+   probabilities. Likewise words for the base: those that make up HEAD_SHARE of
+   all tokens or more are looked up, all others joined.
+
+`learn` is for a tree that is bounded on purpose (`context_share`): it has the
+contexts of 3 bytes and more that make up that share of the training bytes, and a
+node's other contexts share one child.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import pairwise, repeat
 from math import log, log2, log10
 
@@ -32,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, cut_table, small_batches, text_bytes
 
 HEAD_SHARE = 1 / 500_000  # so there are 500,000 such words at most
+GRAM_SHARE = 1 / 4_000_000
 DEPTH = 5
-CONTEXT_SHARE = 1 / 16_384
 END = 255  # closes a text; UTF-8 has no such byte
 _BEFORE, _AFTER = bytes(DEPTH), bytes([END])
 
@@ -63,6 +72,26 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (seen[at // (k * k)] << 16) | (seen[at // k % k] << 8) | seen[at % k], found[at]
 
 
+def grams(seq: np.ndarray, coded: np.ndarray, depth: int, window: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Coded places of a sequence and their grams: depth bytes of context and the byte, as one number. One window at a time."""
+    for i in range(depth, len(seq), window):
+        j = min(i + window, len(seq))
+        out = seq[i - depth : j - depth].astype(np.int64)
+        for k in range(1, depth + 1):
+            out <<= 8
+            out |= seq[i - depth + k : j - depth + k]
+        places = np.flatnonzero(coded[i:j])
+        yield places + i, out[places]
+
+
+def summed(code: np.ndarray, *n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different codes in order, and the sums of what each has in n."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    return code[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in n)
+
+
 class Contexts:
     """The frequent contexts of three bytes and more, and how to find them along a text.
 
@@ -142,30 +171,53 @@ def gather_deeper(docs: DataFrame, contexts: Contexts) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """word, code, n over all texts: counts of words (one end, word null and code -1, for each row) and byte trigrams."""
+def gather(docs: DataFrame, depth: int) -> DataFrame:
+    """word, code, n, total: counts of words of rows with learnt true (their ends: word null and code -1) and of grams.
+
+    docs: text, learnt. n counts rows with learnt true, total all rows; words of others aren't counted.
+    """
+
+    def rows(words: list, codes: np.ndarray, n: np.ndarray, total: np.ndarray):
+        for i in range(0, len(n), 200_000):
+            part = slice(i, i + 200_000)
+            size = len(n[part])
+            word = pa.array(words[part], pa.string()) if words else pa.nulls(size, pa.string())
+            code = pa.nulls(size, pa.int64()) if words else pa.array(codes[part], pa.int64())
+            yield pa.RecordBatch.from_arrays([word, code, pa.array(n[part], pa.int64()), pa.array(total[part], pa.int64())], names=["word", "code", "n", "total"])
 
-    def rows(words: list, codes: list, n: list):
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(codes, pa.int32()), pa.array(n, pa.int64())], names=["word", "code", "n"])
+    def word_rows(words: Counter):
+        n = np.fromiter(words.values(), np.int64, len(words))
+        return rows([w.decode() for w in words], n, n, n)
 
     def run(batches):
         words: Counter = Counter()
-        codes: dict[int, int] = {}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         ends = 0
         for b in small_batches(batches):
             data, at = text_bytes(b.column(0))
-            ends += b.num_rows
-            words.update(b" ".join([data[i:j].tobytes().translate(LOWER) for i, j in zip(at[:-1], at[1:])]).split())
-            code, n = trigrams(data, at)
-            for c, k in zip(code.tolist(), n.tolist()):
-                codes[c] = codes.get(c, 0) + k
+            learnt = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            ends += int(learnt.sum())
+            words.update(b" ".join([data[i:j].tobytes().translate(LOWER) for i, j, use in zip(at[:-1], at[1:], learnt) if use]).split())
+            seq, begin, coded = _sequence(data, at)
+            learnt = np.repeat(learnt, np.diff(np.r_[begin, len(seq)]))
+            for places, code in grams(seq, coded, depth):
+                code <<= 1
+                code |= learnt[places]
+                code, total = np.unique(code, return_counts=True)
+                found.append(summed(code >> 1, np.where(code & 1, total, 0), total))
+                if sum(len(x[0]) for x in found) > 2_000_000:
+                    found = [summed(*map(np.concatenate, zip(*found)))]
+                    if len(found[0][0]) > 1_000_000:
+                        yield from rows([], *found.pop())
             if len(words) > 400_000:
-                yield rows([w.decode() for w in words], [None] * len(words), list(words.values()))
+                yield from word_rows(words)
                 words.clear()
-        yield rows([w.decode() for w in words], [None] * len(words), list(words.values()))
-        yield rows([None] * (len(codes) + 1), [-1, *codes], [ends, *codes.values()])
+        yield from word_rows(words)
+        if found:
+            yield from rows([], *summed(*map(np.concatenate, zip(*found))))
+        yield from rows([], np.array([-1]), np.array([ends]), np.array([ends]))
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, code int, n long")
+    return docs.select(F.col("text").cast("string").alias("text"), "learnt").mapInArrow(run, "word string, code long, n long, total long").groupBy("word", "code").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -173,6 +225,12 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - sum(np.log(x + i) for i in range(8))
 
 
+def _estimates(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log KT probability and KT estimate of a one, of nodes with these counts."""
+    log_kt = lgamma(zero + 0.5) + lgamma(one + 0.5) - log(np.pi) - lgamma(zero + one + 1)
+    return log_kt, (one + 0.5) / (zero + one + 1)
+
+
 def _nodes(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row: log KT probability and KT estimate of a one, of 256 nodes (node 0 unused)."""
     tree = np.zeros((len(histogram), 512))
@@ -181,8 +239,7 @@ def _nodes(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tree[:, i] = tree[:, 2 * i] + tree[:, 2 * i + 1]
     zero, one = tree[:, 0::2].copy(), tree[:, 1::2].copy()
     zero[:, 0] = one[:, 0] = 0
-    log_kt = lgamma(zero + 0.5) + lgamma(one + 0.5) - log(np.pi) - lgamma(zero + one + 1)
-    return log_kt, (one + 0.5) / (zero + one + 1)
+    return _estimates(zero, one)
 
 
 def _symbols(p: np.ndarray) -> np.ndarray:
@@ -256,6 +313,184 @@ def log_probability(data: np.ndarray, at: np.ndarray, row: np.ndarray, table: np
     return np.add.reduceat(found, begin)
 
 
+class Subtrees:
+    """The nodes of contexts of 3 to depth bytes over all grams of some last three context bytes.
+
+    levels[i] has contexts of 3 + i bytes and their grams: `at` [bit of the byte,
+    gram] gives a node, `into` the shorter gram of a gram, `up` the node with one
+    context byte less. Grams without a training count are there to be given their
+    probability; their nodes weigh nothing.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, depth: int):
+        key = np.zeros(len(gram), np.int64)  # nearest byte first: a context's extensions are neighbours
+        for k in range(1, depth + 1):
+            key = key << 8 | gram >> 8 * k & 255
+        key = key << 8 | gram & 255
+        self.order = np.argsort(key)
+        key, n, into = key[self.order], n[self.order].astype(np.float64), None
+        self.levels: list[dict] = []
+        for d in range(depth, 2, -1):
+            at, first, zero, one, size = [], [], [], [], 0
+            for bit in range(8):
+                node = key >> (8 - bit)
+                new = np.r_[True, node[1:] != node[:-1]]
+                at.append(size + np.cumsum(new) - 1)
+                first.append(np.flatnonzero(new))
+                size += len(first[-1])
+                one.append(np.add.reduceat(n * (key >> (7 - bit) & 1), first[-1]))
+                zero.append(np.add.reduceat(n, first[-1]) - one[-1])
+            own, kt = _estimates(np.concatenate(zero), np.concatenate(one))
+            self.levels.insert(0, {"key": key, "n": n, "at": at, "first": first, "own": own, "kt": kt})
+            if d > 3:
+                key, into = np.unique(key >> 16 << 8 | key & 255, return_inverse=True)
+                n = np.bincount(into, weights=n, minlength=len(key))
+                self.levels[0]["into"] = into
+        below = None
+        for i in reversed(range(len(self.levels))):
+            level = self.levels[i]
+            own = both = level["own"]
+            if below is not None:
+                both = np.logaddexp(own, below) - log(2)
+            level["weight"] = np.ones(len(own)) if below is None else np.exp(own - log(2) - both)
+            if i:
+                above = self.levels[i - 1]
+                level["up"] = np.concatenate([above["at"][bit][level["into"][x]] for bit, x in enumerate(level["first"])])
+                below = np.bincount(level["up"], weights=both, minlength=len(above["own"]))
+        self.both = both
+        key = self.levels[0]["key"]  # for each node of three bytes: two nearest bytes * 256 + node of the byte's bits
+        self.names = np.concatenate([key[x] >> 16 << 8 | 1 << bit | (key[x] & 255) >> (8 - bit) for bit, x in enumerate(self.levels[0]["first"])])
+
+    def log_probabilities(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram. A node of three bytes predicts q within the tree, a + b * q with what is above."""
+        for level in self.levels:
+            if "up" in level:
+                a, b = a[level["up"]], b[level["up"]]
+            a, b = a + b * level["weight"] * level["kt"], b * (1 - level["weight"])
+        byte = level["key"] & 255
+        out = np.empty(len(byte))
+        out[self.order] = sum(np.log10(np.where(byte >> (7 - bit) & 1, a[at], 1 - a[at])) for bit, at in enumerate(level["at"]))
+        return out
+
+
+_BYTE = 1 << 24  # marks codes of byte counts among those of nodes
+
+
+def _upper(code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of nodes of two bytes, sorted, and a and b for Subtrees.log_probabilities.
+
+    code: names of nodes, with what the nodes of three bytes weigh together; _BYTE +
+    two nearest bytes * 256 + byte, with counts.
+    """
+    order = np.argsort(code)
+    code, value = code[order], value[order]
+    k = int(np.searchsorted(code, _BYTE))
+    names, grams = code[:k], code[k:] - _BYTE
+    seen, row = np.unique(grams >> 8, return_inverse=True)
+    h, below = np.zeros((len(seen), 256)), np.zeros((len(seen), 256))
+    h[row, grams & 255] = value[k:]
+    row = np.searchsorted(seen, names >> 8)
+    below[row, names & 255] = value[:k]
+    near = seen >> 8
+    kts, weights = [], []
+    for into, size in ((near, 256), (np.zeros(256, np.int64), 1), (None, 0)):
+        own, kt = _nodes(h)
+        both = np.logaddexp(own, below) - log(2)
+        kts.insert(0, kt)
+        weights.insert(0, np.exp(own - log(2) - both))
+        if size:
+            shorter, below = np.zeros((size, 256)), np.zeros((size, 256))
+            np.add.at(shorter, into, h)
+            np.add.at(below, into, both)
+            h = shorter
+    a, b = 0.0, 1.0
+    for kt, weight, rows in zip(kts, weights, (None, np.zeros(256, np.int64), near)):
+        if rows is not None:
+            a, b = a[rows], b[rows]
+        a, b = a + b * weight * kt, b * (1 - weight)
+    return names, a[row, names & 255], b[row, names & 255]
+
+
+def whole_tree(places: DataFrame, depth: int) -> DataFrame:
+    """places: code (a gram), n (in training), total. Returns code, total and logp, the gram's log10 probability."""
+    dealt = places.select("code", "n", "total").repartition(F.shiftright("code", 8).bitwiseAND(F.lit((1 << 24) - 1)))
+
+    def read(batches):
+        columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        return [np.concatenate(c) for c in zip(*columns)] or [np.zeros(0, np.int64)] * 3
+
+    def up(batches):
+        code, n, _ = read(batches)
+        if len(code):
+            trees = Subtrees(code, n, depth)
+            last = code >> 8
+            byte = _BYTE | (last & 255) << 16 | (last & 0xFF00) | code & 255
+            code, value = summed(np.r_[trees.names, byte], np.r_[trees.both, n.astype(np.float64)])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(value)], names=["code", "value"])
+
+    got = dealt.mapInArrow(up, "code long, value double").groupBy("code").agg(F.sum("value").alias("value")).toArrow()
+    shared = places.sparkSession.sparkContext.broadcast(_upper(got["code"].to_numpy(), got["value"].to_numpy()))
+
+    def down(batches):
+        code, n, total = read(batches)
+        if len(code):
+            trees, (names, a, b) = Subtrees(code, n, depth), shared.value
+            at = np.searchsorted(names, trees.names)
+            logp = trees.log_probabilities(a[at], b[at])
+            for i in range(0, len(code), 100_000):
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(code[part]), pa.array(total[part]), pa.array(logp[part])], names=["code", "total", "logp"])
+
+    return cut_table(dealt.mapInArrow(down, "code long, total long, logp double"))
+
+
+class Lookup:
+    """Values by code, in a table of hashed places that is half full at most."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(codes)).bit_length())
+        self.codes, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        slot, left = self._slot(codes), np.arange(len(codes))
+        while len(left):
+            free = left[self.codes[slot[left]] < 0]
+            self.codes[slot[free]] = codes[free]  # of those that meet, the last one stays
+            done = self.codes[slot[left]] == codes[left]
+            self.values[slot[left[done]]] = values[left[done]]
+            left = left[~done]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 if there is none), and the places of codes that aren't here."""
+        slot = self._slot(codes)
+        there = self.codes[slot]
+        out = np.where(there == codes, self.values[slot], 0.0)
+        left, missed = np.flatnonzero(there != codes), []
+        while len(left):
+            empty = self.codes[slot[left]] < 0
+            missed.append(left[empty])
+            left = left[~empty]
+            now = slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            hit = self.codes[now] == codes[left]
+            out[left[hit]] = self.values[now[hit]]
+            left = left[~hit]
+        return out, np.sort(np.concatenate(missed)) if missed else left
+
+
+def log_probability_whole(data: np.ndarray, at: np.ndarray, near: Lookup, depth: int) -> tuple[np.ndarray, pa.Array]:
+    """log10 probability of each text as far as near has its grams, and lists of its other grams."""
+    seq, begin, coded = _sequence(data, at)
+    found, far = np.zeros(len(seq)), []
+    for places, code in grams(seq, coded, depth):
+        found[places], missed = near.find(code)
+        far.append((places[missed], code[missed]))
+    places, code = map(np.concatenate, zip(*far))
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(places, np.r_[begin, len(seq)]).astype(np.int32)), pa.array(code))
+    return np.add.reduceat(found, begin), lists
+
+
 def _scored(docs: DataFrame, head: dict[bytes, int], model: tuple) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(({w: log10(c + 1) for w, c in head.items()}, model))
@@ -263,9 +498,12 @@ def _scored(docs: DataFrame, head: dict[bytes, int], model: tuple) -> DataFrame:
     def run(batches):
         known, model = shared.value
         get = known.get
-        for b in small_batches(batches):
+        for b in small_batches(batches, limit=2 << 20):
             data, at = text_bytes(b.column(0))
-            score = log_probability(data, at, *model)
+            if isinstance(model[0], Lookup):
+                score, far = log_probability_whole(data, at, *model)
+            else:
+                score, far = log_probability(data, at, *model), pa.array([[]] * b.num_rows, pa.list_(pa.int64()))
             n, logs, rest = [], [], []
             for i, j in zip(at[:-1], at[1:]):
                 words = data[i:j].tobytes().translate(LOWER).split()
@@ -273,14 +511,17 @@ def _scored(docs: DataFrame, head: dict[bytes, int], model: tuple) -> DataFrame:
                 n.append(len(words))
                 logs.append(sum(map(get, words, repeat(0.0))))
                 rest.append(other)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(logs, pa.float64()), pa.array(rest, pa.list_(pa.string())), pa.array(score, pa.float64()), pa.array(np.diff(at), pa.int64())], names=["doc_id", "n", "logs", "rest", "score", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(logs, pa.float64()), pa.array(rest, pa.list_(pa.string())), pa.array(score, pa.float64()), far, pa.array(np.diff(at), pa.int64())], names=["doc_id", "n", "logs", "rest", "score", "far", "size"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select(F.col("text").cast("string").alias("text"), "doc_id").mapInArrow(run, f"doc_id {kind}, n long, logs double, rest array<string>, score double, size long")
+    return docs.select(F.col("text").cast("string").alias("text"), "doc_id").mapInArrow(run, f"doc_id {kind}, n long, logs double, rest array<string>, score double, far array<long>, size long")
+
 
+def learn(docs: DataFrame, codes: np.ndarray, n: np.ndarray, texts: int, depth: int = DEPTH, share: float = 0.0) -> tuple:
+    """The model for log_probability, of a bounded tree: codes and n are the trigrams of docs, texts their number.
 
-def learn(docs: DataFrame, codes: np.ndarray, n: np.ndarray, texts: int, depth: int = DEPTH, share: float = CONTEXT_SHARE) -> tuple:
-    """The model for log_probability: codes and n are the trigrams of docs, texts their number."""
+    Contexts of 3 bytes and more need that share of the training bytes, and two places.
+    """
     least = max(2.0, share * n.sum())
     # Each text starts with zero bytes: that context occurs once a text.
     frequent = np.r_[codes[(n >= least) & (codes & 255 != END)], [0] if texts >= least else []].astype(np.int64)
@@ -302,7 +543,7 @@ def learn(docs: DataFrame, codes: np.ndarray, n: np.ndarray, texts: int, depth:
     return row, table, contexts, starts
 
 
-def score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, head_share: float = HEAD_SHARE, depth: int = DEPTH, context_share: float = CONTEXT_SHARE) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, head_share: float = HEAD_SHARE, depth: int = DEPTH, context_share: float | None = None, gram_share: float = GRAM_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
     Learns from the rows whose crc32(doc_id as text) mod folds isn't held_out (a
@@ -310,19 +551,30 @@ def score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, head_share: flo
     between ASCII white space, then one end. base_score adds
     log10((c + 1) / (N + V + 1)) over tokens, c being a token's count among the N
     training tokens of V kinds. score is the log10 probability of the text's
-    bytes and its end under the context-tree mixture; bits_per_byte is its code
-    length over its bytes, the end counted as one. Null text counts as empty: it has its end only. Repeated rows each
+    bytes and its end under the mixture over all contexts of up to depth (at most
+    5) training bytes, or over those that context_share bounds; bits_per_byte is
+    its code length over its bytes, the end counted as one. head_share and
+    gram_share say what tasks look up and what is joined, which doesn't alter
+    results. Null text counts as empty: it has its end only. Repeated rows each
     count and each get their row; extra columns are ignored; an empty table gives
     no rows. With no training row, N and V are 0 and every bit costs one bit.
     """
+    if depth > DEPTH:
+        raise ValueError(f"contexts have {DEPTH} bytes at most")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out, F.lit(False))
-    counts = cut_table(gather(docs.where(~out)).groupBy("word", "code").agg(F.sum("n").alias("n")))
-    words = counts.where("word is not null")
+    whole = context_share is None and depth > 2
+    counts = cut_table(gather(docs.select("text", (~out).alias("learnt")), depth if whole else 2))
+    words, places = counts.where("word is not null"), counts.where("code >= 0")
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    codes = counts.where("word is null").select("code", "n").toPandas()
-    ends = int(codes.loc[codes.code < 0, "n"].sum())
-    codes = codes[(codes.code >= 0) & (codes.n > 0)]
-    model = learn(docs.where(~out), codes.code.to_numpy(np.int64), codes.n.to_numpy(np.int64), ends, depth, context_share)
+    ends = counts.where("code = -1").agg(F.sum("n")).first()[0] or 0
+    if whole:
+        known = whole_tree(places, depth)
+        least = max(1.0, gram_share * (known.agg(F.sum("total")).first()[0] or 0))
+        near = known.where(F.col("total") >= least).select("code", "logp").toArrow()
+        model = Lookup(near["code"].to_numpy(), near["logp"].to_numpy()), depth
+    else:
+        codes = places.where("n > 0").select("code", "n").toPandas()
+        model = learn(docs.where(~out), codes.code.to_numpy(np.int64), codes.n.to_numpy(np.int64), ends, depth, context_share or 0.0)
     train = (total["n"] or 0) + ends
     kinds = total["v"] + (ends > 0)
     head = {r[0].encode(): r[1] for r in words.where(F.col("n") >= max(1.0, head_share * train)).select("word", "n").collect()}
@@ -330,7 +582,12 @@ def score(docs: DataFrame, *, folds: int = 7, held_out: int = 2, head_share: flo
     base = cut_table(_scored(docs.select("doc_id", "text"), head, model).withColumn("row", F.monotonically_increasing_id()))
     rest = base.select("row", F.explode("rest").alias("word"))
     found = rest.join(words.select("word", F.col("n").alias("c")), "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"), F.count("c").alias("known"))
-    base = base.select("row", "doc_id", "n", "logs", "score", "size", F.size("rest").alias("n_rest")).join(found, "row", "left")
+    if whole:
+        far = base.select("row", F.explode("far").alias("code")).join(known.where(F.col("total") < least), "code").groupBy("row").agg(F.sum("logp").alias("beyond"))
+    else:
+        far = found.select("row", F.lit(0.0).alias("beyond"))
+    base = base.select("row", "doc_id", "n", "logs", "score", "size", F.size("rest").alias("n_rest")).join(found, "row", "left").join(far, "row", "left")
+    base = base.withColumn("score", F.col("score") + F.coalesce("beyond", F.lit(0.0)))
     n_tokens = F.col("n") + 1
     return base.select(
         "doc_id",

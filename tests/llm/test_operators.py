@@ -608,6 +608,44 @@ def test_deep_contexts(spark):
     assert sum(byte(b"\0\0ab a"[-5:], x) for x in range(256)) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("shares", [{}, {"gram_share": 1 / 60}, {"gram_share": 1.0}])
+def test_whole_tree(spark, shares):
+    """Contexts seen once count, whether a gram is looked up or joined; the second text is held out."""
+    from math import log10
+    from zlib import crc32
+
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"abaB c") for _ in range(n)) for n in (60, 80, 0, 90, 40, 30, 12)]
+    ids = [i for i in range(200) if crc32(str(i).encode()) % 7 != 2][:6]
+    ids.insert(1, next(i for i in range(200) if crc32(str(i).encode()) % 7 == 2))
+    df = spark.createDataFrame([(i, t.decode()) for i, t in zip(ids, texts)], "doc_id long, text string").repartition(3)
+    texts = [t.lower() for t in texts]
+    learnt = [texts[0], *texts[2:]]
+    nodes = {(b"\0" * 5 + t + b"\xff")[i - d : i] for t in learnt for i in range(5, len(t) + 6) for d in (3, 4, 5)}
+    byte = naive_tree(learnt, nodes, 5)
+    got = {r.doc_id: r.score for r in ctw.score(df, **shares).collect()}
+    for i, t in zip(ids, texts):
+        s = b"\0" * 5 + t + b"\xff"
+        assert got[i] == pytest.approx(sum(log10(byte(s[:k], s[k])) for k in range(5, len(s))), rel=1e-7)
+
+
+def test_windows_of_grams():
+    seq = np.random.default_rng(3).integers(0, 256, 100).astype(np.uint8)
+    coded = seq > 20
+    want = [(i, int.from_bytes(seq[i - 4 : i + 1].tobytes(), "big")) for i in range(4, 100) if coded[i]]
+    for window in (1, 7, 96, 1000):
+        assert [x for part in ctw.grams(seq, coded, 4, window) for x in zip(*(c.tolist() for c in part))] == want
+
+
+def test_lookup_of_codes():
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(0, 1 << 48, 5000))
+    there = codes[::3]
+    values, missed = ctw.Lookup(there, there * 0.5).find(codes)
+    assert missed.tolist() == [i for i in range(len(codes)) if i % 3]
+    assert values.tolist() == [0 if i % 3 else c * 0.5 for i, c in enumerate(codes.tolist())]
+
+
 def test_scores_are_probabilities(docs):
     got = ctw.score(docs).collect()
     assert all(r.score < 0 for r in got)
