@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise, repeat
+from itertools import islice, pairwise, repeat
 from math import log, log2, log10
 
 import numpy as np
@@ -171,51 +171,77 @@ def gather_deeper(docs: DataFrame, contexts: Contexts) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def counted(batches, depth: int, held: int = 800_000) -> Iterator[pa.RecordBatch]:
+    """What gather sums, of one task's batches of text and learnt.
+
+    Holds that many different grams at most, and a fourth as many words (besides
+    those of the latest megabytes): rarer grams, and all words, are sent on then.
+    """
+    names = ["word", "code", "n", "total"]
+
+    def word_rows(words: Counter):
+        each = iter(words.items())
+        while part := list(islice(each, 50_000)):
+            n = pa.array([k for _, k in part], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in part], pa.string()), pa.nulls(len(part), pa.int64()), n, n], names=names)
+
+    def gram_rows(marked: np.ndarray, total: np.ndarray):
+        for i in range(0, len(marked), 100_000):
+            code, all_ = marked[i : i + 100_000], total[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.string()), pa.array(code >> 1), pa.array(np.where(code & 1, all_, 0)), pa.array(all_)], names=names)
+
+    words: Counter = Counter()
+    marked, total = np.zeros(0, np.int64), np.zeros(0, np.int64)  # twice a gram, and one more if it is learnt from; how often
+    new: list[np.ndarray] = []
+    ends = 0
+
+    def add():
+        nonlocal marked, total
+        code = np.concatenate(new)
+        new.clear()
+        code.sort()
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        n = np.diff(np.r_[first, len(code)])
+        marked, total = summed(np.concatenate([marked, code[first]]), np.concatenate([total, n]))
+
+    for b in small_batches(batches, limit=1 << 20):
+        data, at = text_bytes(b.column(0))
+        learnt = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        ends += int(learnt.sum())
+        for i, j, use in zip(at[:-1], at[1:], learnt):
+            if use:
+                words.update(data[i:j].tobytes().translate(LOWER).split())
+        seq, begin, coded = _sequence(data, at)
+        learnt = np.repeat(learnt, np.diff(np.r_[begin, len(seq)]))
+        for places, code in grams(seq, coded, depth, 1 << 18):
+            code <<= 1
+            code |= learnt[places]
+            new.append(code)
+            if sum(map(len, new)) > held:
+                add()
+                if len(total) > held:
+                    rare = total <= np.partition(total, -(held // 2))[-(held // 2)]
+                    yield from gram_rows(marked[rare], total[rare])
+                    marked, total = marked[~rare], total[~rare]
+        if len(words) > held // 4:
+            yield from word_rows(words)
+            words.clear()
+    yield from word_rows(words)
+    words.clear()
+    if new:
+        add()
+    yield from gram_rows(marked, total)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([-1], pa.int64()), pa.array([ends], pa.int64()), pa.array([ends], pa.int64())], names=names)
+
+
 def gather(docs: DataFrame, depth: int) -> DataFrame:
     """word, code, n, total: counts of words of rows with learnt true (their ends: word null and code -1) and of grams.
 
     docs: text, learnt. n counts rows with learnt true, total all rows; words of others aren't counted.
     """
 
-    def rows(words: list, codes: np.ndarray, n: np.ndarray, total: np.ndarray):
-        for i in range(0, len(n), 200_000):
-            part = slice(i, i + 200_000)
-            size = len(n[part])
-            word = pa.array(words[part], pa.string()) if words else pa.nulls(size, pa.string())
-            code = pa.nulls(size, pa.int64()) if words else pa.array(codes[part], pa.int64())
-            yield pa.RecordBatch.from_arrays([word, code, pa.array(n[part], pa.int64()), pa.array(total[part], pa.int64())], names=["word", "code", "n", "total"])
-
-    def word_rows(words: Counter):
-        n = np.fromiter(words.values(), np.int64, len(words))
-        return rows([w.decode() for w in words], n, n, n)
-
     def run(batches):
-        words: Counter = Counter()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        ends = 0
-        for b in small_batches(batches):
-            data, at = text_bytes(b.column(0))
-            learnt = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            ends += int(learnt.sum())
-            words.update(b" ".join([data[i:j].tobytes().translate(LOWER) for i, j, use in zip(at[:-1], at[1:], learnt) if use]).split())
-            seq, begin, coded = _sequence(data, at)
-            learnt = np.repeat(learnt, np.diff(np.r_[begin, len(seq)]))
-            for places, code in grams(seq, coded, depth):
-                code <<= 1
-                code |= learnt[places]
-                code, total = np.unique(code, return_counts=True)
-                found.append(summed(code >> 1, np.where(code & 1, total, 0), total))
-                if sum(len(x[0]) for x in found) > 2_000_000:
-                    found = [summed(*map(np.concatenate, zip(*found)))]
-                    if len(found[0][0]) > 1_000_000:
-                        yield from rows([], *found.pop())
-            if len(words) > 400_000:
-                yield from word_rows(words)
-                words.clear()
-        yield from word_rows(words)
-        if found:
-            yield from rows([], *summed(*map(np.concatenate, zip(*found))))
-        yield from rows([], np.array([-1]), np.array([ends]), np.array([ends]))
+        return counted(batches, depth)
 
     return docs.select(F.col("text").cast("string").alias("text"), "learnt").mapInArrow(run, "word string, code long, n long, total long").groupBy("word", "code").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
@@ -411,17 +437,29 @@ def _upper(code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return names, a[row, names & 255], b[row, names & 255]
 
 
+def subtree_grams(batches, limit: int = 100_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns code, n and total of a task's batches: whole subtrees of three bytes, limit grams or one more subtree at a time."""
+    columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if not columns:
+        return
+    code, n, total = (np.concatenate(c) for c in zip(*columns))
+    columns.clear()
+    subtree = code >> 8 & 0xFFFFFF
+    order = np.argsort(subtree, kind="stable")
+    subtree, start = subtree[order], 0
+    while start < len(code):
+        end = int(np.searchsorted(subtree, subtree[min(start + limit, len(code)) - 1], "right"))
+        part = order[start:end]
+        yield code[part], n[part], total[part]
+        start = end
+
+
 def whole_tree(places: DataFrame, depth: int) -> DataFrame:
     """places: code (a gram), n (in training), total. Returns code, total and logp, the gram's log10 probability."""
     dealt = places.select("code", "n", "total").repartition(F.shiftright("code", 8).bitwiseAND(F.lit((1 << 24) - 1)))
 
-    def read(batches):
-        columns = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        return [np.concatenate(c) for c in zip(*columns)] or [np.zeros(0, np.int64)] * 3
-
     def up(batches):
-        code, n, _ = read(batches)
-        if len(code):
+        for code, n, _ in subtree_grams(batches):
             trees = Subtrees(code, n, depth)
             last = code >> 8
             byte = _BYTE | (last & 255) << 16 | (last & 0xFF00) | code & 255
@@ -432,9 +470,9 @@ def whole_tree(places: DataFrame, depth: int) -> DataFrame:
     shared = places.sparkSession.sparkContext.broadcast(_upper(got["code"].to_numpy(), got["value"].to_numpy()))
 
     def down(batches):
-        code, n, total = read(batches)
-        if len(code):
-            trees, (names, a, b) = Subtrees(code, n, depth), shared.value
+        names, a, b = shared.value
+        for code, n, total in subtree_grams(batches):
+            trees = Subtrees(code, n, depth)
             at = np.searchsorted(names, trees.names)
             logp = trees.log_probabilities(a[at], b[at])
             for i in range(0, len(code), 100_000):

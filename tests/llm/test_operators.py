@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestack.llm import ctw, decontam, langid, licenses, packing, quality, shingle_sets, simhash, span_dedup, suffix_dedup, suffixes, token_counts
@@ -629,6 +632,62 @@ def test_whole_tree(spark, shares):
         assert got[i] == pytest.approx(sum(log10(byte(s[:k], s[k])) for k in range(5, len(s))), rel=1e-7)
 
 
+def batches_of(texts: list[str], rows: int) -> list[pa.RecordBatch]:
+    """text and learnt, of which every third is false."""
+    learnt = [i % 3 != 1 for i in range(len(texts))]
+    return [pa.RecordBatch.from_arrays([pa.array(texts[i : i + rows]), pa.array(learnt[i : i + rows])], names=["text", "learnt"]) for i in range(0, len(texts), rows)]
+
+
+@pytest.mark.parametrize("held", [4, 40, 100_000])
+def test_counts_that_are_sent_on_early(held):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abAB c") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    words, n, total = Counter(), Counter(), Counter()
+    for i, t in enumerate(texts):
+        t = t.lower().encode()
+        s = bytes(5) + t + b"\xff"
+        found = Counter(int.from_bytes(s[k - 5 : k + 1], "big") for k in range(5, len(s)))
+        total += found
+        if i % 3 != 1:
+            n += found
+            words.update(t.decode().split())
+    got_words, got_n, got_total, ends = Counter(), Counter(), Counter(), 0
+    for b in ctw.counted(batches_of(texts, 3), 5, held):
+        for r in b.to_pylist():
+            if r["word"] is not None:
+                got_words[r["word"]] += r["n"]
+            elif r["code"] < 0:
+                ends += r["n"]
+            else:
+                got_n[r["code"]] += r["n"]
+                got_total[r["code"]] += r["total"]
+    assert (got_words, +got_n, got_total, ends) == (words, n, total, sum(i % 3 != 1 for i in range(40)))
+
+
+def test_counting_takes_little_memory():
+    """Nearly every gram of these texts is new; so are most of the words."""
+    raw = np.random.default_rng(5).choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789-_    ", np.uint8), 6_000_000).tobytes().decode()
+    given = batches_of([raw[i : i + 2000] for i in range(0, len(raw), 2000)], 1000)
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in ctw.counted(iter(given), 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 5_000_000 and peak < 150_000_000
+
+
+def test_slices_hold_whole_subtrees():
+    code = np.random.default_rng(6).integers(0, 50, 900).astype(np.int64) * 0x0103 | np.arange(900) % 7 << 40
+    given = [pa.RecordBatch.from_arrays([pa.array(x) for x in (code[i : i + 70], code[i : i + 70] + 1, code[i : i + 70] + 2)], names=["code", "n", "total"]) for i in range(0, 900, 70)]
+    parts = list(ctw.subtree_grams(iter(given), 20))
+    seen = [set((c >> 8 & 0xFFFFFF).tolist()) for c, _, _ in parts]
+    assert len(parts) > 5 and sum(map(len, seen)) == len(set.union(*seen))
+    assert sorted(np.concatenate([c for c, _, _ in parts]).tolist()) == sorted(code.tolist())
+    assert all((n == c + 1).all() and (t == c + 2).all() for c, n, t in parts)
+    assert list(ctw.subtree_grams(iter([]))) == []
+
+
 def test_windows_of_grams():
     seq = np.random.default_rng(3).integers(0, 256, 100).astype(np.uint8)
     coded = seq > 20
