@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from lodestack.plans import samples
-from lodestack.sources import parsers, pdf
+from lodestack.operators import geometry, recognition
+from lodestack.plans import catalog, samples
+from lodestack.sources import pdf
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,8 +31,26 @@ def test_tokens_behind_comments_and_brackets():
     assert found == ["AB", 12, -3.5, b"a(b))c", b"plain", b"A", b"[", 1, 0, b"R", b"]"]
 
 
-def test_rows_are_written_in_batches_by_their_characters(spark, monkeypatch):
-    monkeypatch.setattr(parsers, "CHARS", 1000)
-    files = spark.createDataFrame([(str(i), ".txt", bytearray(b"x" * 400)) for i in range(20)], "path string, extension string, content binary").coalesce(1)
-    found = parsers.parse(files).where("block_index is not null")
-    assert sorted(int(r.path) for r in found.collect()) == list(range(20)) and found.where("length(raw_text) = 400").count() == 20
+def test_region_trees_are_dealt_out_and_leave_in_batches(spark):
+    assert catalog.queries()["region_tree"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    one = spark.createDataFrame([("i", 64 << 7, 64 << 7, [[0, 0, 9, 9]]), ("none", 64, 64, None)], "image string, width int, height int, anchors array<array<int>>").coalesce(1)
+    tree = recognition.region_tree(one, 64)
+    assert tree.count() == sum(4**k for k in range(8)) + 1 and tree.dropDuplicates(["region_id"]).count() == tree.count()
+    assert max(tree.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) == tree.count()
+
+
+LINES = [("a", "Hello world", 0.5, 0.0, 0.0, 100.0, 10.0), ("a", "hello, world!", 0.9, 5.0, 0.0, 105.0, 10.0), ("b", "x", None, 0.0, 50.0, 9.0, 60.0), ("b", "x", 0.1, 0.0, 50.0, 9.0, 60.0), (None, "y", 0.2, 0.0, 0.0, 9.0, 9.0), (None, "z", 0.2, 50.0, 0.0, 59.0, 9.0)]
+
+
+def test_lines_of_many_images_need_no_frame_each(spark):
+    lines = spark.createDataFrame(LINES, "img string, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    merged = geometry.merged_lines(lines, "img")
+    assert sorted((r.img or "", r.text, r.confidence) for r in merged.collect()) == [("", "y", 0.2), ("", "z", 0.2), ("a", "hello, world!", 0.9), ("b", "x", 0.1)]
+    assert "InPandas" not in merged._jdf.queryExecution().toString()
+
+
+def test_boxes_of_many_images_need_no_frame_each(spark):
+    lines = spark.createDataFrame(LINES, "img string, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    boxes = geometry.distinct_boxes(lines, "img")
+    assert sorted((r.img or "", r.x1) for r in boxes.collect()) == [("", 0.0), ("", 50.0), ("a", 0.0), ("a", 5.0), ("b", 0.0)]
+    assert "InPandas" not in boxes._jdf.queryExecution().toString()
