@@ -7,11 +7,14 @@ is relational, so each distinct crop is recognised once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import batched
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.sinks import cache_key
 
@@ -71,20 +74,24 @@ def region_tree(images: DataFrame, target: int = 960) -> DataFrame:
     those with more heat.
     """
 
-    def run(parts):
-        for part in parts:
-            rows = []
-            for image, width, height, anchors in part[["image", "width", "height", "anchors"]].itertuples(index=False):
-                todo = [(0, (0, 0, int(width), int(height)))]
-                marks = [tuple(map(int, a)) for a in (anchors if anchors is not None else [])]
-                while todo:
-                    level, box = todo.pop()
-                    leaf = max(box[2] - box[0], box[3] - box[1]) <= max(64, target)
-                    rows.append((image, region_id(image, level, *box, target), level, *box, heat(box, marks), "pending" if leaf else "split"))
-                    todo += [] if leaf else [(level + 1, q) for q in quarters(box)]
-            yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in REGION.split(", ")])
-
-    return images.mapInPandas(run, REGION)
+    schema = to_arrow_schema(T.StructType.fromDDL(REGION))
+
+    def tree(image: str, width: int, height: int, anchors: list | None) -> Iterator[tuple]:
+        todo = [(0, (0, 0, int(width), int(height)))]
+        marks = [tuple(map(int, a)) for a in anchors or []]
+        while todo:
+            level, box = todo.pop()
+            leaf = max(box[2] - box[0], box[3] - box[1]) <= max(64, target)
+            yield (image, region_id(image, level, *box, target), level, *box, heat(box, marks), "pending" if leaf else "split")
+            todo += [] if leaf else [(level + 1, q) for q in quarters(box)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows leave as they come, as one large image may have any number of regions.
+        images = (image for part in parts for k in range(0, part.num_rows, 256) for image in zip(*(c.to_pylist() for c in part.slice(k, 256).columns)))
+        for rows in batched((row for image in images for row in tree(*image)), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*rows), schema)], schema=schema)
+
+    return images.select("image", "width", "height", "anchors").mapInArrow(run, REGION)
 
 
 def region_order() -> list[Column]:
