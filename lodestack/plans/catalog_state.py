@@ -18,8 +18,7 @@ from .search import SearchEngine, candidates
 
 
 def _indexed(spark, d) -> SearchEngine:
-    stored, index = v.indexed_documents(spark, d)
-    return SearchEngine(v.document_files(spark, d), stored, index=index)
+    return SearchEngine(v.document_files(spark, d), v.stored_documents(spark, d), index=lambda: v.document_index(spark, d))
 
 
 @query(search_sql("contains(n, 'inan')", ["inan"]))

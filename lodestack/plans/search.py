@@ -7,6 +7,7 @@ the blocks of the wanted page only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -18,6 +19,9 @@ from ..operators import postings
 from ..query import Planned, SearchQuery, plan
 
 
+Index = DataFrame | Callable[[], DataFrame]
+
+
 class IndexNotReadyError(RuntimeError):
     """The index isn't complete; the message lists the reasons."""
 
@@ -95,11 +99,11 @@ def _hits(p: Planned, stored: Column | None = None) -> Column:
     return tx.hits(stored if stored is not None else tx.normalized("raw_text", **p.query.flags), p.terms)
 
 
-def _content(p: Planned, blocks: DataFrame, files: DataFrame, index: DataFrame | None) -> DataFrame:
+def _content(p: Planned, blocks: DataFrame, files: DataFrame, index: Index | None) -> DataFrame:
     """Confirmed blocks. With an index (trigrams of the stored normal form), only its candidates are read, where the query's strategy allows it."""
     rows = blocks.where(source_filter(p.query))
     if index is not None and p.strategy == "postings":
-        rows = rows.join(postings.candidates(p, index, "block_id"), "block_id", "left_semi")
+        rows = rows.join(postings.candidates(p, index() if callable(index) else index, "block_id"), "block_id", "left_semi")
     hits = _hits(p)
     if p.pattern:
         rows = rows.where(_stripped(p, F.coalesce("raw_text", F.lit(""))).rlike(p.pattern))
@@ -129,7 +133,7 @@ def _metadata(p: Planned, files: DataFrame) -> DataFrame:
     return rows.select(null("long").alias("block_id"), "file_id", F.lit("").alias("location_text"), _hits(p).alias("__hits"), F.lit("metadata").alias("source_type"), null("double").alias("ocr_confidence"), "path", "filename", "extension", "size_bytes", "modified_time", "parse_status")
 
 
-def candidates(p: Planned, blocks: DataFrame, files: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def candidates(p: Planned, blocks: DataFrame, files: DataFrame, index: Index | None = None) -> DataFrame:
     """Confirmed rows, one for each block and file and one for each file's name or path."""
     files = files.where(attribute_filter(p.query))
     if "document_id" not in files.columns:
@@ -222,10 +226,11 @@ class SearchEngine:
     """Searches a set of tables: files, blocks, and optionally exclusions, a readiness row, and the blocks' trigram index.
 
     With an index, queries whose terms all have three characters or more read the
-    postings of these and then the candidates; all others scan.
+    postings of these and then the candidates; all others scan. An index may be a
+    function that opens it, called by queries that read it only.
     """
 
-    def __init__(self, files: DataFrame, blocks: DataFrame, exclusions: DataFrame | None = None, readiness: DataFrame | None = None, index: DataFrame | None = None):
+    def __init__(self, files: DataFrame, blocks: DataFrame, exclusions: DataFrame | None = None, readiness: DataFrame | None = None, index: Index | None = None):
         self.files, self.blocks, self.exclusions, self.readiness, self.index = files, blocks, exclusions, readiness, index
 
     def require_ready(self) -> None:

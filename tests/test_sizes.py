@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize as unicodedata_normalize
+
+import pyarrow as pa
 import pytest
 
-from lodestack.operators import geometry, recognition
-from lodestack.plans import catalog, samples
+from lodestack.functions import text as tx
+from lodestack.operators import geometry, postings, recognition
+from lodestack.plans import catalog, samples, views
+from lodestack.plans.search import SearchEngine
+from lodestack.query import SearchQuery
 from lodestack.sources import pdf
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +60,45 @@ def test_boxes_of_many_images_need_no_frame_each(spark):
     boxes = geometry.distinct_boxes(lines, "img")
     assert sorted((r.img or "", r.x1) for r in boxes.collect()) == [("", 0.0), ("", 50.0), ("a", 0.0), ("a", 5.0), ("b", 0.0)]
     assert "InPandas" not in boxes._jdf.queryExecution().toString()
+
+
+def test_runs_of_white_space_become_one_space(spark):
+    blank = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and (c.isspace() or ord(c) < 32 or ord(c) == 127)]
+    texts = [f"a{c}b {c}c{c} d{c}{c}e  f {mark}" for c in blank for mark in ("", "é", "​é﻿")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    for flags in ({}, {"ignore_spaces": True}, {"ignore_hyphens": True, "case_sensitive": True}):
+        got = {r.i: r.n for r in df.select("i", tx.normalized("s", **flags).alias("n")).collect()}
+        assert got == {i: tx.normalize(s, **flags) for i, s in enumerate(texts)}
+
+
+def test_composing_passes_on_what_is_composed_and_works_in_slices(monkeypatch):
+    seen = []
+    monkeypatch.setattr(tx.unicodedata, "normalize", lambda form, s: seen.append(s) or unicodedata_normalize(form, s))
+    texts = pa.array(["plain", None, "é", "é", "ﬁ"] * 100)
+    assert tx._composed(texts).to_pylist() == ["plain", None, "é", "é", "fi"] * 100
+    assert len(seen) == 300 and tx._composed(texts.slice(0, 0)).to_pylist() == []
+
+
+def test_segments_hold_each_gram_once_for_each_row(spark):
+    rows = spark.createDataFrame([(1, "abcabc"), (2, "xabc😀é"), (3, None), (4, "ab"), (5, "")], "id long, t string").coalesce(1)
+    found = postings.segments(rows, "id", "t").collect()
+    assert [r.gram for r in found] == sorted({r.gram for r in found})  # a row for a gram, not one for each gram and id
+    assert {r.gram: r.ids for r in found} == {"abc": [1, 2], "bca": [1], "cab": [1], "xab": [2], "bc😀": [2], "c😀é": [2]}
+
+
+def test_a_short_term_opens_no_index(spark):
+    def index():
+        raise AssertionError("a scan needs no index")
+
+    engine = SearchEngine(views.document_files(spark, SF), views.document_blocks(spark, SF), index=index)
+    assert engine.results(SearchQuery("ß")).count() >= 0
+    with pytest.raises(AssertionError):
+        engine.results(SearchQuery("inan"))
+
+
+def test_needles_of_every_length(spark):
+    texts = {1: "abcde", 2: "xbcdy", 3: None, 4: "", 5: "é😀z", 6: "ab"}
+    needles = {1: "b", 2: "bc", 3: "bcd", 4: "abcde", 5: "", 6: "😀", 7: "é😀z", 8: "nowhere"}
+    got = postings.contained(spark.createDataFrame(list(needles.items()), "n long, s string"), "n", "s", spark.createDataFrame(list(texts.items()), "id long, t string"), "id", "t")
+    assert sorted((r.n, r.id) for r in got.collect()) == sorted((n, i) for n, s in needles.items() for i, t in texts.items() if t is not None and s in t)
+    assert "regexp_extract_all" not in got._jdf.queryExecution().toString()
